@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from leafmill.llm.simhash_docs import op8_simhash_near_dedup
+from leafmill.llm.weighted_prints import op10_fingerprints
 
 QUERIES = {
+    "op10_fingerprints": op10_fingerprints,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
