@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from leafmill.llm.repeats import op4_suffix_array_dedup
 from leafmill.llm.simhash_docs import op8_simhash_near_dedup
 from leafmill.llm.weighted_prints import op10_fingerprints
 
 QUERIES = {
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
