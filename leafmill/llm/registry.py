@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from leafmill.llm.mixing import op5_mixing
+from leafmill.llm.quality import op9_quality
 from leafmill.llm.repeats import op4_suffix_array_dedup
 from leafmill.llm.sharding import op6_sharding
 from leafmill.llm.simhash_docs import op8_simhash_near_dedup
 from leafmill.llm.weighted_prints import op10_fingerprints
 
 QUERIES = {
+    "op9_quality": op9_quality,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
