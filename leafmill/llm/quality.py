@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -15,17 +16,19 @@ from leafmill.llm.common import table, utf8
 
 #: Labelled documents for training at most.
 SAMPLE = 6000
-BINS = 8
+#: Of each feature: bounded by quantiles of lines in good documents and in bad ones.
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+BINS = 2 * len(QUANTILES) + 1
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 DIGITS = b"0123456789"
 PLAIN = b" \t\r\x0b\x0c.,;:'\"()-?"
 HIGH = bytes(range(128, 256))
-FEATURES = 12
+FEATURES = 13
 
 
 def line_features(text: bytes) -> np.ndarray:
-    """One row a line: sizes, shares of kinds of bytes, repetition of words, repetition of the line."""
+    """One row a line: sizes, shares of kinds of bytes, words that occur again, repetition of the line, words like the one before."""
     lines, seen, out = text.split(b"\n"), set(), []
     for line in lines:
         n, words = len(line), line.split()
@@ -36,7 +39,7 @@ def line_features(text: bytes) -> np.ndarray:
         high = len(rest) - len(rest := rest.translate(None, HIGH))
         symbols = len(rest.translate(None, PLAIN))
         d = n or 1
-        out.append((n, len(words), upper / d, digits / d, high / d, symbols / d, line.count(b"!") / m, line.count(b"|") / m, len(set(words)) / m, n / m, line[-1:] in b".!?" if n else False, line in seen))
+        out.append((n, len(words), upper / d, digits / d, high / d, symbols / d, line.count(b"!") / m, line.count(b"|") / m, len(set(words)) / m, n / m, line[-1:] in b".!?" if n else False, line in seen, sum(map(eq, words, words[1:])) / m))
         seen.add(line)
     return np.array(out, np.float64)
 
@@ -106,7 +109,7 @@ def fit(x: np.ndarray, counts: np.ndarray, label: np.ndarray, rounds: int = 4, s
     doc = np.repeat(np.arange(len(counts)), counts)
     first = np.zeros(len(x), bool)
     first[starts] = True
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(FEATURES)]
+    edges = [np.unique([np.quantile(x[label[doc] == c, k], QUANTILES) for c in (0, 1)]) for k in range(FEATURES)]
     model = Model(edges, *(np.zeros((FEATURES, BINS)) for _ in range(3)), np.zeros(2), np.zeros((2, 2)), 0.0)
     bins = model.bins(x)
     k = np.arange(FEATURES)
@@ -137,7 +140,7 @@ def fit(x: np.ndarray, counts: np.ndarray, label: np.ndarray, rounds: int = 4, s
             unpack(theta)
             good, pairs = marginals(model.emissions(bins, first), starts, counts, model)
             g = y - good
-            grad = np.concatenate([*sums(g), seen_first - pairs[4:], seen - pairs[:4], [g.sum()]]) * weight - 1e-4 * theta
+            grad = np.concatenate([*sums(g), seen_first - pairs[4:], seen - pairs[:4], [g.sum()]]) * weight - 1e-3 * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
         unpack(theta)
