@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafmill.llm.mixing import op5_mixing
+from leafmill.llm.pieces import op2_sentencepiece
 from leafmill.llm.quality import op9_quality
 from leafmill.llm.repeats import op4_suffix_array_dedup
 from leafmill.llm.sharding import op6_sharding
@@ -10,6 +11,7 @@ from leafmill.llm.simhash_docs import op8_simhash_near_dedup
 from leafmill.llm.weighted_prints import op10_fingerprints
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op9_quality": op9_quality,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
