@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafmill.llm.html_text import op7_html_extraction
 from leafmill.llm.mixing import op5_mixing
 from leafmill.llm.pieces import op2_sentencepiece
 from leafmill.llm.quality import op9_quality
@@ -11,6 +12,7 @@ from leafmill.llm.simhash_docs import op8_simhash_near_dedup
 from leafmill.llm.weighted_prints import op10_fingerprints
 
 QUERIES = {
+    "op7_html_extraction": op7_html_extraction,
     "op2_sentencepiece": op2_sentencepiece,
     "op9_quality": op9_quality,
     "op5_mixing": op5_mixing,
