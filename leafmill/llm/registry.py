@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from leafmill.llm.html_text import op7_html_extraction
 from leafmill.llm.mixing import op5_mixing
+from leafmill.llm.neighbours import op3_nearest_neighbours
 from leafmill.llm.pieces import op2_sentencepiece
 from leafmill.llm.quality import op9_quality
 from leafmill.llm.repeats import op4_suffix_array_dedup
@@ -12,6 +13,7 @@ from leafmill.llm.simhash_docs import op8_simhash_near_dedup
 from leafmill.llm.weighted_prints import op10_fingerprints
 
 QUERIES = {
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op7_html_extraction": op7_html_extraction,
     "op2_sentencepiece": op2_sentencepiece,
     "op9_quality": op9_quality,
