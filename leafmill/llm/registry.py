@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafmill.llm.html_text import op7_html_extraction
+from leafmill.llm.line_dedup import op1_line_dedup
 from leafmill.llm.mixing import op5_mixing
 from leafmill.llm.neighbours import op3_nearest_neighbours
 from leafmill.llm.pieces import op2_sentencepiece
@@ -13,6 +14,7 @@ from leafmill.llm.simhash_docs import op8_simhash_near_dedup
 from leafmill.llm.weighted_prints import op10_fingerprints
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op7_html_extraction": op7_html_extraction,
     "op2_sentencepiece": op2_sentencepiece,
