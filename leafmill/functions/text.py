@@ -17,7 +17,7 @@ DECLINING = (
 
 def terms(text: Column) -> Column:
     """Latin terms in lower case; of runs of CJK characters each pair, or the one. A stand-in for a dictionary segmenter."""
-    latin = F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)), F.lower)
+    latin = F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)), lambda t: F.lower(t))
     runs = F.regexp_extract_all(text, F.lit(f"({CJK}+)"), F.lit(1))
     pairs = F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
     return F.when(text.rlike(CJK), F.concat(latin, F.flatten(pairs))).otherwise(latin)

@@ -78,14 +78,14 @@ def cited_blocks(blocks: DataFrame) -> DataFrame:
 
 def named_rows(chunks: DataFrame, names: str) -> DataFrame:
     """Without table rows that lack one of the compared names; all stay if fewer than two names are longer than two characters. names: an array column."""
-    low = F.transform(F.filter(names, lambda e: F.length(e) > 2), F.lower)
+    low = F.transform(F.filter(names, lambda e: F.length(e) > 2), lambda e: F.lower(e))
     body = F.lower("text")
     return chunks.filter((F.size(low) < 2) | (F.col("kind") != "table_row") | F.forall(low, lambda e: F.contains(body, e)))
 
 
 def focused_rows(rows: DataFrame, names: str) -> DataFrame:
     """Rows of whole tables whose label holds one of the names; all of a table's if none or every one does. rows: query_id, table_id, row_label."""
-    hit = F.exists(F.transform(F.col(names), F.lower), lambda e: F.contains(F.lower("row_label"), e))
+    hit = F.exists(F.transform(F.col(names), lambda e: F.lower(e)), lambda e: F.contains(F.lower("row_label"), e))
     n = F.sum(F.col("_hit").cast("int")).over(W.partitionBy("query_id", "table_id"))
     return rows.withColumn("_hit", hit).withColumn("_n", n).filter("_hit or _n = 0").drop("_hit", "_n")
 
