@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,12 @@ def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there, and returns what it wrote."""
-    name = f"out_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there, and returns what it wrote to the shared folder: of a complete output the last state, else all rows."""
+    spark = stream.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 @CATALOG.add("ST5", f"WITH {LOG_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, route, count(*) AS n, round(sum(cost_usd), 6) AS cost_usd FROM costed WHERE event = 'query' GROUP BY ALL")
