@@ -37,6 +37,11 @@ def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> lis
     return [F.xxhash64(doc_id, doc_id.isNull(), a), F.xxhash64(F.lit("second"), doc_id, doc_id.isNull(), b)]
 
 
+def apart(df: DataFrame) -> str:
+    """A beginning for names of columns that none of df's has."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import table
+from leafmill.llm.common import apart, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -196,7 +196,7 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = [Page(h).text() if h else "" for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "main_text"])
 
-    plain = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c not in ("main_text", html)], pages[f"`{html}`"].alias("_html"))
+    plain = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c not in ("main_text", html)], pages[f"`{html}`"].alias(f"{apart(pages)}html"))
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields[:-1], T.StructField("main_text", T.StringType())]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import row_key, save_point, table
+from leafmill.llm.common import apart, row_key, save_point, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Words of the budget that dynamic programming fits; what is above is filled in proportion and then longest first.
@@ -123,13 +123,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The rows that the mix takes, once for each copy; all columns stay."""
-    mixed = mix(docs, **how).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "copies")
+    p = apart(docs)
+    key = [f"{p}k1", f"{p}k2"]
+    mixed = mix(docs, **how).select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), F.col("copies").alias(f"{p}copies"))
     # repeated rows share a key: their copies are dealt by rank
-    rank = W.partitionBy("_k1", "_k2").orderBy(F.desc("copies"))
-    mixed = mixed.withColumn("_n", F.row_number().over(rank)).filter("copies > 0")
+    rank = W.partitionBy(*key).orderBy(F.desc(f"{p}copies"))
+    mixed = mixed.withColumn(f"{p}n", F.row_number().over(rank)).filter(F.col(f"{p}copies") > 0)
     k1, k2 = row_key(F.col("doc_id").cast("long"))
-    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2).withColumn("_n", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0))))
-    return keyed.join(mixed, ["_k1", "_k2", "_n"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    keyed = docs.withColumn(key[0], k1).withColumn(key[1], k2).withColumn(f"{p}n", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
+    taken = keyed.join(mixed, [*key, f"{p}n"])
+    return taken.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), f"{p}copies"))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

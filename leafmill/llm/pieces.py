@@ -19,9 +19,10 @@ MARK, LITERAL = 0x2581, 0x10FFFF
 _ODD = re.compile("  |^ | $|▁")
 _UNIT = re.compile(" *[^ ]+| +$")
 #: Characters that are segmented together, and the length of a unit from which logarithms are summed.
-TOGETHER, LONG = 4_000_000, 200
+TOGETHER, LONG = 3_000_000, 120
 #: Weight that a character adds to each way through it, which cancels out; keeps sums within range.
 _PER_CHAR = 4.0
+_POWERS = np.exp(_PER_CHAR * np.arange(64))
 
 
 def _uniform(seed: np.ndarray, unit: np.ndarray, step: int) -> np.ndarray:
@@ -56,6 +57,7 @@ class Pieces:
         rank = np.full(n + 1, len(plain), np.float64)
         rank[plain] = np.arange(len(plain))
         self.weight = -alpha * np.log1p(rank)
+        self.share = np.exp(self.weight)
         self.bytes = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([i - byte[0]]) if model.is_byte(i) else names[i].replace("▁", " ").encode() for i in range(n)]
         self.stored = pa.array(self.bytes, pa.large_binary())
         self.sizes = np.array([len(b) for b in self.bytes])
@@ -77,8 +79,8 @@ class Pieces:
         self.piece[list(last)] = list(last.values())
 
     def _lattice(self, types: list[str]) -> tuple[np.ndarray, ...]:
-        """Edges of all types' lattices, sorted by the node they end at: start node, id (size: bytes), code point, and for
-        sampling node + share of the ways so far; and the last node of each type."""
+        """Edges of all types' lattices, sorted by the node they end at: start node, id (size: bytes), code points and each edge's first, for
+        sampling node + share of the ways so far; and the first and last node of each type."""
         sizes = np.fromiter(map(len, types), np.int64, len(types)) + 1
         raw = np.frombuffer((" " + " ".join(types)).encode("utf-32-le"), np.uint32).astype(np.int64)
         code = np.where(raw == MARK, LITERAL, np.where(raw == 32, MARK, raw))
@@ -97,56 +99,66 @@ class Pieces:
             piece = self.piece[node]
             done = piece >= 0
             starts.append(at[done])
-            lasts.append(at[done] + depth + 1)
-            ids.append(piece[done])
+            lasts.append(at[done] + np.int32(depth + 1))
+            ids.append(piece[done].astype(np.int32))
             if not depth:
                 single[at[done]] = True
             depth += 1
             on = at + depth < limit[at]
             at, node = at[on], node[on]
         bare = np.flatnonzero(~single).astype(np.int32)
-        start = np.concatenate([*starts, bare])
-        last = np.concatenate([*lasts, bare + 1])
-        ids = np.concatenate([*ids, np.full(len(bare), self.size)])
-        char = raw[start]
-        t = of[start]
-        weight = self.weight[ids] + _PER_CHAR * (last - start)
-        level = last - (ends - sizes)[t]
-        start, last = (start + t).astype(np.int32), (last + t).astype(np.int32)  # as nodes: each type has one more than characters
+        starts.append(bare)
+        lasts.append(bare + np.int32(1))
+        ids.append(np.full(len(bare), self.size, np.int32))
+        # edges of one length come in order of their ends, so each length is put behind those before it at the same end, without a sort
+        room = np.zeros(len(code) + 2, np.int32)
+        for x in lasts:
+            room[x + 1] += 1
+        room = np.cumsum(room, dtype=np.int32)
+        total = int(room[-1])
+        start, last, piece = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32)
+        for x, y, z in zip(starts, lasts, ids, strict=True):
+            to = room[y]
+            start[to], last[to], piece[to] = x, y, z
+            room[y] += 1
+        w = self.share[piece] * _POWERS[last - start]
+        of_edge = of[start]
+        level = last - (ends - sizes).astype(np.int32)[of_edge]
+        first_char = start
+        start, last = start + of_edge, last + of_edge  # as nodes: each type has one more than characters
         firsts = ends - sizes + np.arange(len(types))
-        alpha = np.full(len(code) + len(types), -np.inf)
-        alpha[firsts] = 0
-        long = sizes[t] > LONG
-        for many, logs in ((~long, False), (long, True)):
-            e = np.flatnonzero(many)
-            if not len(e):
-                continue
-            at = level[e]
-            e = e[np.argsort(at if logs else at.astype(np.uint8), kind="stable")]
-            cuts = np.searchsorted(level[e], np.arange(1, level[e[-1]] + 2))
-            if logs:
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    x = e[a:b]
-                    np.logaddexp.at(alpha, last[x], alpha[start[x]] + weight[x])
-            else:
-                sums = np.zeros(len(alpha))
-                sums[firsts] = 1
-                w = np.exp(weight[e])
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    x = e[a:b]
-                    np.add.at(sums, last[x], sums[start[x]] * w[a:b])
-                nodes = np.flatnonzero(sums)
-                alpha[nodes] = np.log(sums[nodes])
-        order = np.argsort(last, kind="stable")
-        start, last, ids, char, weight = start[order], last[order], ids[order], char[order], weight[order]
-        share = np.cumsum(np.exp(alpha[start] + weight - alpha[last]))
-        opens = np.concatenate([[True], last[1:] != last[:-1]]) if len(last) else np.zeros(0, bool)
-        group = np.cumsum(opens) - 1
+        ways = np.zeros(len(code) + len(types))
+        ways[firsts] = 1
+        long = (sizes > LONG)[of_edge]
+        few = np.flatnonzero(~long) if long.any() else np.arange(total)
+        order = few[np.argsort(level[few].astype(np.uint8), kind="stable")]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(level[few]))])
+        s, t, v = start[order], last[order], w[order]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            np.add.at(ways, t[i:j], ways[s[i:j]] * v[i:j])
+        part = ways[start] * w / np.where(ways[last] > 0, ways[last], 1)
+        if long.any():
+            part[long] = self._logs(np.flatnonzero(long), start, last, w, level, firsts, len(ways))
+        share = np.cumsum(part)
+        opens = np.concatenate([[True], last[1:] != last[:-1]])
         base = np.concatenate([[0.0], share])[np.flatnonzero(opens)]
-        key = last + np.minimum(share - base[group], 1.0)
-        closes = np.concatenate([opens[1:], [True]]) if len(last) else opens
+        key = last + np.minimum(share - np.repeat(base, np.diff(np.append(np.flatnonzero(opens), total))), 1.0)
+        closes = np.concatenate([opens[1:], [True]])
         key[closes] = last[closes] + 1
-        return start, ids, char, key, firsts, firsts + sizes
+        return start, piece, raw, first_char, key, firsts, firsts + sizes
+
+    @staticmethod
+    def _logs(e: np.ndarray, start: np.ndarray, last: np.ndarray, w: np.ndarray, level: np.ndarray, firsts: np.ndarray, nodes: int) -> np.ndarray:
+        """The edges' shares of the ways to their ends by sums of logarithms, for units too long for plain sums."""
+        alpha = np.full(nodes, -np.inf)
+        alpha[firsts] = 0
+        lw = np.log(w)
+        order = e[np.argsort(level[e], kind="stable")]
+        cuts = np.searchsorted(level[order], np.arange(1, level[order[-1]] + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x = order[a:b]
+            np.logaddexp.at(alpha, last[x], alpha[start[x]] + lw[x])
+        return np.exp(alpha[start[e]] + lw[e] - alpha[last[e]])
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many each has. The ids of a text depend on the text and its seed alone."""
@@ -156,7 +168,7 @@ class Pieces:
             return np.zeros(0, np.int32), counts
         coded = pa.array([u for p in parts for u in p], pa.large_string()).dictionary_encode()
         kind = coded.indices.to_numpy().astype(np.int64)
-        start, ids, char, key, firsts, lasts = self._lattice(coded.dictionary.to_pylist())
+        start, ids, raw, first_char, key, firsts, lasts = self._lattice(coded.dictionary.to_pylist())
         doc = np.repeat(np.arange(len(parts)), counts)
         unit = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = seeds[doc]
@@ -176,12 +188,12 @@ class Pieces:
             edges[place[live] - 1 - step] = e
         out, per = ids[edges], np.bincount(doc, size, len(parts)).astype(np.int64)
         if (bare := np.flatnonzero(out == self.size)).size:
-            spelled = {int(c): [self.first_byte + b for b in chr(c).encode()] for c in np.unique(char[edges[bare]])}
+            spelled = {int(c): [self.first_byte + b for b in chr(c).encode()] for c in np.unique(raw[first_char[edges[bare]]])}
             wide = np.ones(len(out), np.int64)
-            wide[bare] = [len(spelled[c]) for c in char[edges[bare]].tolist()]
+            wide[bare] = [len(spelled[c]) for c in raw[first_char[edges[bare]]].tolist()]
             of = np.repeat(np.repeat(np.arange(len(doc)), size), wide)
             full = np.repeat(out, wide)
-            full[full == self.size] = [b for c in char[edges[bare]].tolist() for b in spelled[c]]
+            full[full == self.size] = [b for c in raw[first_char[edges[bare]]].tolist() for b in spelled[c]]
             out, per = full, np.bincount(doc[of], minlength=len(parts))
         return out.astype(np.int32), per
 

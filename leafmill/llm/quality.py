@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import table, utf8
+from leafmill.llm.common import apart, table, utf8
 
 #: Labelled documents for training at most.
 SAMPLE = 6000
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "quality_score"])
 
     others = [c for c in docs.columns if c != "quality_score"]
-    plain = docs.select(*[docs[f"`{c}`"] for c in others], docs["text"].alias("_scored"))
+    plain = docs.select(*[docs[f"`{c}`"] for c in others], docs["text"].alias(f"{apart(docs)}scored"))
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields[:-1], T.StructField("quality_score", T.DoubleType())]))
 
 

@@ -10,9 +10,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import row_key, save_point, table, utf8, whole_groups
+from leafmill.llm.common import apart, row_key, save_point, table, utf8, whole_groups
 from leafmill.llm.components import components
 
 #: 64 bits in five blocks. Up to 3 differing bits leave two blocks untouched, so each pair of blocks is a shard key.
@@ -177,12 +178,13 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
     """The rows of docs with one document of each component: the one with the least doc_id (null last), then key; all columns stay."""
     found = near_duplicates(docs, words, radius)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), "k1", "k2")
-    kept = found.groupBy("root").agg(F.min(rank).alias("x")).select(F.col("x.k1").alias("_k1"), F.col("x.k2").alias("_k2"))
+    p = apart(docs)
+    key = [f"{p}k1", f"{p}k2"]
+    kept = found.groupBy("root").agg(F.min(rank).alias("x")).select(F.col("x.k1").alias(key[0]), F.col("x.k2").alias(key[1]))
     a, b = row_key(F.col("doc_id").cast("long"))
-    from pyspark.sql import Window as W
-
-    one = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
-    return docs.withColumn("_k1", a).withColumn("_k2", b).join(kept, ["_k1", "_k2"], "left_semi").withColumn("_n", one).filter("_n = 1").select(*[docs[f"`{c}`"] for c in docs.columns])
+    one = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+    rows = docs.withColumn(key[0], a).withColumn(key[1], b).join(kept, key, "left_semi")
+    return rows.withColumn(f"{p}n", one).filter(F.col(f"{p}n") == 1).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
