@@ -94,3 +94,18 @@ def with_facts(prompt: DataFrame) -> DataFrame:
     """query_id, prompt: context, question, then the computed facts as a list. prompt: query_id, context, question, facts (array)."""
     facts = F.when(F.size("facts") > 0, F.concat(F.lit("Computed from the tables, use as they are:\n"), F.array_join(F.transform("facts", lambda f: F.concat(F.lit("- "), f)), "\n")))
     return prompt.select("query_id", F.concat_ws("\n\n", "context", F.concat(F.lit("Question: "), "question"), facts).alias("prompt"))
+
+
+def named_first(hits: DataFrame, named: DataFrame) -> DataFrame:
+    """query_id, chunk_id, rank: what a question names comes first, then its other hits. hits: query_id, chunk_id, rank; named: query_id, chunk_id."""
+    others = hits.join(named, ["query_id", "chunk_id"], "left_anti")
+    both = named.withColumn("rank", F.lit(0)).unionByName(others.select("query_id", "chunk_id", "rank"))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "chunk_id")))
+
+
+def claims(answers: DataFrame) -> DataFrame:
+    """answers with universal (it claims something of all cases) and complementary (its two percents add up to 100 within 0.6)."""
+    universal = F.col("answer").rlike(r"(?iu)\b(on|in|across) (all|every)\b|\balways\b|所有.{0,10}(優於|都)|全部.{0,6}優於")
+    p = F.transform(F.regexp_extract_all("answer", F.lit(r"(\d+(?:\.\d+)?)%"), F.lit(1)), lambda x: x.cast("double"))
+    pair = F.when(F.size("_p") == 2, F.abs(F.get("_p", F.lit(0)) + F.get("_p", F.lit(1)) - 100) < 0.6).otherwise(False)
+    return answers.withColumn("universal", universal).withColumn("_p", p).withColumn("complementary", pair).drop("_p")
