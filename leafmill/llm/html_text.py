@@ -176,7 +176,7 @@ class Page:
         return chosen
 
     def text(self) -> str:
-        """Blocks of the article, white space made one space, on a line each."""
+        """Blocks of the article, white space made one space, with an empty line between them."""
         chosen, blocks, block = self.content(), [], []
         for i, text in [*self.texts, (0, "")]:
             if not text:
@@ -185,7 +185,7 @@ class Page:
                 block = []
             elif chosen[i]:
                 block.append(text)
-        return "\n".join(blocks)
+        return "\n\n".join(blocks)
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -213,7 +213,7 @@ def test_html(spark):
     for r in rows(spark, "op7_html_extraction"):
         article = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?p>|</?h1>", article.replace("<br>", " "))]
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
 def test_simhash(spark, texts):

@@ -109,7 +109,7 @@ def test_sharding(docs, none):
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a<p>b", "x"), (2, None, None, "y"), (None, "u", "", "z"), (3, "u", "<article><h1>T</h1><p>x &amp; y</article><footer>f</footer>", "w"), (3, "u", "<article><h1>T</h1><p>x &amp; y</article><footer>f</footer>", "w")], "page_id long, url string, html string, _html string")
     out = html_text.extracted(pages).collect()
-    assert sorted(r.main_text for r in out) == ["", "", "T\nx & y", "T\nx & y", "a\nb"]
+    assert sorted(r.main_text for r in out) == ["", "", "T\n\nx & y", "T\n\nx & y", "a\n\nb"]
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
