@@ -24,11 +24,11 @@ _LANES = np.uint64(0x0101010101010101)
 _SHIFTS = np.arange(8, dtype=np.uint64)
 
 
-def simhash(text: bytes, words: int) -> int:
-    """64-bit SimHash over the shingles of `words` words. A bit is set if more than half of the hashes have it."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each shingle of `words` words, repeats included; of all words if they are fewer; none if there is none."""
     parts = text.lower().split()  # for bytes: A-Z alone are lowered, and ASCII white space alone splits
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     if len(parts) <= words:
@@ -36,8 +36,14 @@ def simhash(text: bytes, words: int) -> int:
     else:
         starts = np.concatenate([[0], ends[:-1] + 1])
         spans = zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero for none."""
     n = len(h)
+    if not n:
+        return 0
     h = np.concatenate([h, np.zeros(-n % 255, np.uint64)]).reshape(-1, 255)
     # lane k of h >> s holds bit 8k + s; 255 rows at most are summed before a lane of 8 bits could overflow
     counts = np.stack([((h >> s) & _LANES).sum(1) for s in _SHIFTS]).view(np.uint8).reshape(8, -1, 8).sum(1, dtype=np.int64)
@@ -45,6 +51,11 @@ def simhash(text: bytes, words: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def simhash(text: bytes, words: int) -> int:
+    """64-bit SimHash over the shingles of `words` words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, the two columns of the row's key, and fp (the fingerprint's bits as a bigint)."""
     a, b = row_key()

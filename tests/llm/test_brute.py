@@ -12,7 +12,7 @@ import regex
 import xxhash
 
 import __spark_entry__ as entry
-from leafmill.llm import pieces, repeats, simhash_docs
+from leafmill.llm import near_texts, pieces, repeats, simhash_docs
 from leafmill.llm.sharding import longest_first
 
 FOLDER = "/root/testdata/sf0.001"
@@ -275,3 +275,27 @@ def test_prints(spark, texts):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         errors += [r.near_edited - alike(t, e), r.near_next - alike(t, u)]
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.06
+
+
+@pytest.mark.parametrize("tree", [256, 3])
+def test_near_texts(spark, monkeypatch, tree):
+    """The pipeline's stage against all pairs: copies with words changed, chains of them, and shards cut into blocks."""
+    monkeypatch.setattr(near_texts, "TREE", tree)
+    rng = np.random.default_rng(5)
+    data, at = {}, 0
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 300)))]
+        for _ in range(int(rng.integers(1, 9))):
+            for k in rng.integers(0, len(words), int(rng.integers(0, 1 + len(words) // 60))):
+                words[k] = f"w{rng.integers(0, 5000)}"
+            data[at] = " ".join(words)
+            at += 1
+    sets = Sets()
+    shingles = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in data.items()}
+    for a in data:
+        sets.find(a)
+        for b in range(a):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                sets.join(a, b)
+    docs = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_texts.keep_first(docs).collect()) == sorted({sets.find(d) for d in data})
