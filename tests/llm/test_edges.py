@@ -48,6 +48,13 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_marks_around(spark):
+    """Lines that are equal but for marks at their ends are one line, however short."""
+    texts = ["Read more", "Read more.", "- Read more", "...", "Read  MORE!\n..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {0: "Read more", 1: "", 2: "", 3: "...", 4: "..."}
+
+
 def test_line_lanes_agree(spark):
     """Lines of more words than a lane counts have the fingerprint that single counts give."""
     import xxhash
