@@ -55,6 +55,38 @@ def test_line_marks_around(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {0: "Read more", 1: "", 2: "", 3: "...", 4: "..."}
 
 
+@pytest.mark.parametrize("together", [4096, 3])
+def test_alike_lines(spark, monkeypatch, together):
+    """Lines against all pairs by edit similarity alone, with chains, words changed, lost and added, and groups cut into parts."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    rng = np.random.default_rng(3)
+    lines = []
+    for _ in range(40):
+        words = ["v" + "abcdefghij"[x // 10 % 10] + "klmnopqrst"[x % 10] for x in rng.integers(0, 100, int(rng.integers(4, 45)))]
+        for _ in range(int(rng.integers(1, 7))):
+            for _ in range(int(rng.integers(0, 1 + len(words) // 4))):
+                k = int(rng.integers(0, len(words)))
+                words[k : k + int(rng.integers(0, 2))] = ["n" + "".join("abcdefghij"[x] for x in rng.integers(0, 10, 4))] * int(rng.integers(0, 2))
+            lines.append(" ".join(words))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    root = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            a_, b_ = a.split(), b.split()
+            if root[i] != root[j] and a_ and b_ and distance(a_, b_) <= max(len(a_), len(b_)) * 0.2 + 1e-9:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).filter("removed_lines = array(0)").collect()} == {i for i, r in enumerate(root) if r != i}
+
+
 def test_line_lanes_agree(spark):
     """Lines of more words than a lane counts have the fingerprint that single counts give."""
     import xxhash
