@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmill.llm import html_text, line_dedup, mixing, neighbours, pieces, quality, repeats, sharding, simhash_docs, weighted_prints
+from leafmill.llm import html_text, line_dedup, mixing, near_texts, neighbours, pieces, quality, repeats, sharding, simhash_docs, weighted_prints
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, root long, _k1 int, sim int"
 LONG = " ".join(f"word{i % 97}" for i in range(70_000))
@@ -162,6 +162,22 @@ def test_simhash(docs, none):
     assert simhash_docs.keep_first(none).count() == 0
 
 
+def test_near_texts_repeats(spark):
+    """Copies of which one holds a run of one word longer than the text, or that have few shingles, against all pairs by sets of shingles."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in (300, 120, 60):
+        text = " ".join(f"w{x}" for x in rng.integers(0, 9000, n))
+        texts += [text, text + " ha" * 3 * n]
+    for _ in range(150):  # sets of five and four shingles, a similarity of exactly 0.8
+        text = " ".join(f"w{x}" for x in rng.integers(0, 9000, 9))
+        texts += [text, text.rsplit(" ", 1)[0]]
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = {k for k in range(1, len(texts), 2) if len(shingles[k] & shingles[k - 1]) >= 0.8 * len(shingles[k] | shingles[k - 1])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(near) == 153 and {r.doc_id for r in near_texts.keep_first(docs).collect()} == set(range(len(texts))) - near
+
+
 def test_quality(docs, none, labels):
     model = quality.train(docs, labels)
     out = quality.scored(docs, model).collect()
