@@ -28,27 +28,35 @@ breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar cookie
 newsletter subscribe subscription signup login paywall social share sharing related recommended recommendations trending popular comment comments
 commentlist discussion reply replies respond disqus widget widgets pagination pager search copyright legal disclaimer tags skip hidden
 contentinfo complementary""".split())
+#: First or last words of a class that only say how a page is laid out, as in has-sidebar or share-enabled.
+STATES = set("has have no not non without with hide show is are enabled disabled enable disable on off none ready active inactive left right".split())
+#: Why an element is left out: words among others of a class, such words alone, or because it is not shown.
+LOOSE, WHOLE, HIDDEN = 1, 2, 3
 #: An opening tag closes these if they are open, up to the nearest of the borders.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDERS = set("ul ol dl table div article section main body td th blockquote form nav aside header footer".split())
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether class, id, role or visibility put an element outside of the article."""
+def _marked(tag: str, attributes: str) -> int:
+    """Whether class, id, role or visibility put an element outside of the article: 0, LOOSE, WHOLE or HIDDEN."""
+    mark = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in AROUND for w in _NAMES.findall(value)):
-            return True
-    return False
+            return HIDDEN
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = [w.lower() for w in _NAMES.findall(token)]
+                if any(w in AROUND for w in words) and words[0] not in STATES and words[-1] not in STATES - {"left", "right"}:
+                    mark = max(mark, WHOLE if all(w in AROUND for w in words) else LOOSE)
+    return mark
 
 
 class Page:
     """The elements of a page in order, each with its parent; and its texts with the element they are in."""
 
     def __init__(self, html: str) -> None:
-        self.tags, self.parents, self.marked = ["html"], [-1], [False]
+        self.tags, self.parents, self.marked = ["html"], [-1], [0]
         self.texts: list[tuple[int, str]] = []  # an empty text is the edge of a block
         stack, at, n = [0], 0, len(html)
         while at < n:
@@ -74,7 +82,7 @@ class Page:
                 self._close(stack, CLOSES[tag], BORDERS)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.marked.append(tag not in ("html", "body", "main") and bool(attributes) and _marked(tag, attributes))
+            self.marked.append(_marked(tag, attributes) if attributes and tag not in ("html", "body", "main") else 0)
             if tag in BLOCKS:
                 self.texts.append((stack[-1], ""))
             elif tag in ("br", "td", "th", "img"):
@@ -96,27 +104,45 @@ class Page:
             if tag in borders:
                 return
 
-    def outside(self) -> list[bool]:
-        """Which elements are around the article, or within such ones."""
+    def plain(self) -> list[int]:
+        """Characters of each element outside of links and of elements that are never part of the article."""
         n = len(self.tags)
+        chars, skipped = [0] * n, [False] * n
+        for i in range(1, n):
+            skipped[i] = skipped[self.parents[i]] or self.tags[i] == "a" or self.tags[i] in OUTSIDE - {"form"} or self.marked[i] >= WHOLE
+        for i, text in self.texts:
+            if not skipped[i]:
+                chars[i] += len(text) - text.count(" ")
+        for i in range(n - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+        return chars
+
+    def outside(self, named: bool = True) -> list[bool]:
+        """Which elements are around the article, or within such ones; unless named, the words of class, id and role do not count.
+
+        A class that has other words too does not leave out an element that holds most of the page's text outside of links.
+        """
+        n = len(self.tags)
+        plain = self.plain() if LOOSE in self.marked else None
+        marked = [m == HIDDEN or named and (m == WHOLE or m == LOOSE and plain[i] * 2 <= plain[0]) for i, m in enumerate(self.marked)]
         holds = [False] * n  # an article or main element of the page itself
         inside = [False] * n
         for i in range(1, n):
             p = self.parents[i]
             inside[i] = inside[p] or self.tags[p] in ("article", "main")
         for i in range(n - 1, 0, -1):
-            if holds[i] or self.tags[i] == "main" or self.tags[i] == "article" and not self.marked[i]:
+            if holds[i] or self.tags[i] == "main" or self.tags[i] == "article" and not marked[i]:
                 holds[self.parents[i]] = True
         out = [False] * n
         for i in range(1, n):
             tag = self.tags[i]
-            own = tag in OUTSIDE and not (tag == "form" and holds[i]) or self.marked[i] and not holds[i] or tag == "header" and not inside[i] and not holds[i]
+            own = tag in OUTSIDE and not (tag == "form" and holds[i]) or marked[i] and not holds[i] or tag == "header" and not inside[i] and not holds[i]
             out[i] = out[self.parents[i]] or own
         return out
 
-    def content(self) -> list[bool]:
+    def content(self, named: bool = True) -> list[bool]:
         """Which elements are the article: the subtree of greatest sum of its children's densities, and others as dense as the path to it."""
-        n, parents, out = len(self.tags), self.parents, self.outside()
+        n, parents, out = len(self.tags), self.parents, self.outside(named)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for i, text in self.texts:
             if text and not out[i]:
@@ -176,8 +202,11 @@ class Page:
         return chosen
 
     def text(self) -> str:
-        """Blocks of the article, white space made one space, with an empty line between them."""
-        chosen, blocks, block = self.content(), [], []
+        """Blocks of the article, white space made one space, with an empty line between them; if marks leave none, those of the tree without marks."""
+        return self._text(True) or (self._text(False) if any(0 < m < HIDDEN for m in self.marked) else "")
+
+    def _text(self, named: bool) -> str:
+        chosen, blocks, block = self.content(named), [], []
         for i, text in [*self.texts, (0, "")]:
             if not text:
                 if words := unescape("".join(block)).split():

@@ -152,6 +152,18 @@ def test_html(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "id='page' class='no-sidebar'", "class='post share-enabled'", "class='layout-sidebar-right'", "class='sidebar'"])
+def test_html_wrappers(wrapper):
+    """Pages without article or main, whose wrapper's class has a word that marks what is around an article."""
+    paragraphs = [f"This is paragraph {k} of the text, long enough to be what the page is about, and without links." for k in range(5)]
+    around = "<ul class='site-nav'><li><a href='/'>Home</a><li><a href='/a'>About us</a></ul>"
+    page = f"<body>{around}<div {wrapper}>{''.join(f'<p>{p}</p>' for p in paragraphs)}<div class='post-comments'><p>I like it.</p></div></div><div class='footer-links'><a href='/c'>Terms</a></div>"
+    text = html_text.Page(page).text()
+    assert text.startswith("\n\n".join(paragraphs)) and "Home" not in text and "Terms" not in text
+    assert "I like it" not in text or wrapper == "class='sidebar'"
+    assert html_text.Page(f"<p>a<div class='hidden' hidden>{paragraphs[0]}</div>").text() == "a"
+
+
 def test_simhash(docs, none):
     found = simhash_docs.with_component(simhash_docs.near_duplicates(docs, 3)).collect()
     assert len(found) == len(ROWS)
