@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ MARK, LITERAL = 0x2581, 0x10FFFF
 _ODD = re.compile("  |^ | $|▁")
 _UNIT = re.compile(" *[^ ]+| +$")
 #: Characters that are segmented together, and the length of a unit from which logarithms are summed.
-TOGETHER, LONG = 3_000_000, 120
+TOGETHER, LONG = 400_000, 120
 #: Weight that a character adds to each way through it, which cancels out; keeps sums within range.
 _PER_CHAR = 4.0
 _POWERS = np.exp(_PER_CHAR * np.arange(64))
@@ -175,7 +176,7 @@ class Pieces:
         live, at, first, step, walks = np.arange(len(doc)), lasts[kind], firsts[kind], 0, []
         while len(live):
             e = np.searchsorted(key, at + _uniform(seed[live], unit[live], step), "right")
-            walks.append((live, e))
+            walks.append((live.astype(np.int32), e.astype(np.int32)))
             at = start[e]
             on = at > first
             live, at, first, step = live[on], at[on], first[on], step + 1
@@ -184,7 +185,9 @@ class Pieces:
             size[live] += 1
         place = np.cumsum(size)
         edges = np.empty(int(place[-1]), np.int64)
-        for step, (live, e) in enumerate(walks):
+        for step in range(len(walks)):
+            live, e = walks[step]
+            walks[step] = None  # freed as it is placed
             edges[place[live] - 1 - step] = e
         out, per = ids[edges], np.bincount(doc, size, len(parts)).astype(np.int64)
         if (bare := np.flatnonzero(out == self.size)).size:
@@ -224,11 +227,13 @@ def encoded(docs: DataFrame, proto: bytes | None = None, alpha: float = 1.0, see
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value, alpha)
         for batch in batches:
-            texts, seeds = [t or "" for t in batch.column(2).to_pylist()], batch.column(1).to_numpy().view(np.uint64)
-            group = np.cumsum([len(t) for t in texts]) // TOGETHER if texts else np.zeros(0)
-            for g in np.unique(group).tolist():
-                a, b = np.searchsorted(group, [g, g + 1]).tolist()
-                ids, counts = pieces.sample(texts[a:b], seeds[a:b])
+            # only the texts that are segmented together are held as Python strings
+            seeds = batch.column(1).to_numpy().view(np.uint64)
+            group = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                texts = [t or "" for t in batch.column(2).slice(a, b - a).to_pylist()]
+                ids, counts = pieces.sample(texts, seeds[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(pieces.decode(ids, counts), pa.binary())], schema=kinds)
 
