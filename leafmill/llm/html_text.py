@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -14,7 +15,9 @@ from pyspark.sql import types as T
 
 from leafmill.llm.common import apart, table
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
+_OPEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of a tag. A quote opens a value behind "=" alone; no part can match in two ways, so that no text is tried again.
+_REST = re.compile(r"""((?>[^>=]+|=\s*+(?>"[^"]*"|'[^']*')?)*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
@@ -22,23 +25,26 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Elements that are never part of the article.
 OUTSIDE = RAW | set("head nav footer aside form button select input dialog menu svg canvas object embed audio video map".split())
-#: Words in class, id or role that mark what is around an article.
-AROUND = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar
-breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay
-newsletter subscribe subscription signup login paywall social share sharing related recommended recommendations trending popular comment comments
-commentlist discussion reply replies respond disqus widget widgets pagination pager search copyright legal disclaimer tags skip hidden
-contentinfo complementary""".split())
+#: Words in class, id or role that name what is no part of an article, wherever it stands.
+AROUND = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar
+breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login
+paywall social share sharing related comment comments commentlist disqus widget widgets pagination""".split())
+#: Words that an article may have in it too: such an element is left out beside the chosen subtree, but not within it.
+BESIDE = set("""banner aside rail topbar toolbar notice notices alert recommended recommendations trending popular discussion reply replies
+respond pager search copyright legal disclaimer tags skip hidden contentinfo complementary""".split())
+#: How much more the sum of these elements counts.
+WEIGHTS, BESIDE_WEIGHT = {"article": 3.0, "main": 1.5}, 0.25
 #: First or last words of a class that only say how a page is laid out, as in has-sidebar or share-enabled.
 STATES = set("has have no not non without with hide show is are enabled disabled enable disable on off none ready active inactive left right".split())
-#: Why an element is left out: words among others of a class, such words alone, or because it is not shown.
-LOOSE, WHOLE, HIDDEN = 1, 2, 3
+#: Why an element is left out: a word of BESIDE; words of AROUND among others of a class, or alone; or because it is not shown.
+NEAR, LOOSE, WHOLE, HIDDEN = 1, 2, 3, 4
 #: An opening tag closes these if they are open, up to the nearest of the borders.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDERS = set("ul ol dl table div article section main body td th blockquote form nav aside header footer".split())
 
 
 def _marked(tag: str, attributes: str) -> int:
-    """Whether class, id, role or visibility put an element outside of the article: 0, LOOSE, WHOLE or HIDDEN."""
+    """Whether class, id, role or visibility put an element outside of the article: 0, NEAR, LOOSE, WHOLE or HIDDEN."""
     mark = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
@@ -47,8 +53,12 @@ def _marked(tag: str, attributes: str) -> int:
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _NAMES.findall(token)]
-                if any(w in AROUND for w in words) and words[0] not in STATES and words[-1] not in STATES - {"left", "right"}:
-                    mark = max(mark, WHOLE if all(w in AROUND for w in words) else LOOSE)
+                if not words or words[0] in STATES or words[-1] in STATES - {"left", "right"}:
+                    continue
+                if any(w in AROUND for w in words):
+                    mark = max(mark, WHOLE if all(w in AROUND or w in BESIDE for w in words) else LOOSE)
+                elif any(w in BESIDE for w in words):
+                    mark = max(mark, NEAR)
     return mark
 
 
@@ -58,18 +68,26 @@ class Page:
     def __init__(self, html: str) -> None:
         self.tags, self.parents, self.marked = ["html"], [-1], [0]
         self.texts: list[tuple[int, str]] = []  # an empty text is the edge of a block
-        stack, at, n = [0], 0, len(html)
+        self.open: Counter[str] = Counter()
+        stack, at, n, quoted = [0], 0, len(html), True
         while at < n:
-            found = _TOKEN.search(html, at)
+            found = _OPEN.search(html, at)
             end = found.start() if found else n
             if end > at:
                 self.texts.append((stack[-1], html[at:end]))
             if not found:
                 break
             at = found.end()
-            closing, tag, attributes = found[1], found[2], found[3]
+            closing, tag, attributes = found[1], found[2], ""
             if not tag:
                 continue
+            rest = _REST.match(html, at) if quoted else None
+            if rest:
+                attributes, at = rest[1], rest.end()
+            else:  # a quote that nothing closes: from here on a tag ends at the next ">", or with the page
+                quoted = False
+                close = html.find(">", at)
+                attributes, at = html[at : close if close >= 0 else n], close + 1 if close >= 0 else n
             tag = tag.lower()
             if closing:
                 self._close(stack, {tag})
@@ -88,17 +106,21 @@ class Page:
             elif tag in ("br", "td", "th", "img"):
                 self.texts.append((stack[-1], " "))
             if tag in RAW:
-                over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                over = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = over.end() if over else n
             elif tag not in VOID:
                 stack.append(len(self.tags) - 1)
+                self.open[tag] += 1
 
     def _close(self, stack: list[int], tags: set[str], borders: set[str] = frozenset()) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]
             if tag in tags:
                 if any(self.tags[x] in BLOCKS for x in stack[k:]):
                     self.texts.append((stack[k - 1], ""))
+                self.open.subtract(self.tags[x] for x in stack[k:])
                 del stack[k:]
                 return
             if tag in borders:
@@ -165,19 +187,19 @@ class Page:
                 t, lt = max(tags[i], 1), max(link_tags[i], 1)
                 base = log(c / max(c - lc, 1) * lc + share * c + e)
                 density[i] = c / t * log(max(c / max(lc, 1) * t / lt, 1 + 1e-9)) / log(max(base, 1 + 1e-9))
+        around = [0] * n  # the block around each element
         for i in range(1, n):  # inline elements count with the block around them
+            p = parents[i]
+            around[i] = p if self.tags[p] in BLOCKS else around[p]
             if self.tags[i] in BLOCKS:
-                p = parents[i]
-                while p and self.tags[p] not in BLOCKS:
-                    p = parents[p]
-                sums[p] += density[i]
+                sums[around[i]] += density[i]
+        beside = [False] * n
+        for i in range(1, n):
+            beside[i] = beside[parents[i]] or named and self.marked[i] == NEAR
+        sums = [x * WEIGHTS.get(tag, 1.0) * (BESIDE_WEIGHT if near else 1.0) for x, tag, near in zip(sums, self.tags, beside, strict=True)]
         best = max(range(n), key=sums.__getitem__)
         if not sums[best]:
             best = max(range(n), key=density.__getitem__)
-        at = best
-        while at >= 0:  # a subtree within an article element stands for the whole of it
-            best = at if self.tags[at] == "article" else best
-            at = parents[at]
         threshold, at = density[best], best
         while at >= 0:
             threshold = min(threshold, density[at])
@@ -197,8 +219,11 @@ class Page:
             if state[i] == 1 and density[i] >= threshold and density[i]:
                 chosen[top[i] if sums[top[i]] else i] = True
                 state[i] = 2
+        inside = [False] * n  # within the subtree of greatest sum, if it is less than the page
         for i in range(1, n):
-            chosen[i] = (chosen[i] or chosen[parents[i]]) and not out[i]
+            kept = not beside[i] or inside[parents[i]]
+            inside[i] = kept and (inside[parents[i]] or i == best and self.tags[i] != "body")
+            chosen[i] = (chosen[i] or chosen[parents[i]]) and not out[i] and kept
         return chosen
 
     def text(self) -> str:

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 from html import unescape
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ import regex
 import xxhash
 
 import __spark_entry__ as entry
-from leafmill.llm import near_texts, pieces, repeats, simhash_docs
+from leafmill.llm import html_text, near_texts, pieces, repeats, simhash_docs
 from leafmill.llm.sharding import longest_first
 
 FOLDER = "/root/testdata/sf0.001"
@@ -216,6 +218,81 @@ def test_html(spark):
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("tail", ['"a" ', "'a' ", '"', '="', "<a ", "<a x=\"'", "</script ", "<b>", "<div>", "='x' "])
+def test_html_malformed(tail):
+    """A tag that nothing closes takes no more than linear time, and the text before it stays."""
+    for n in (20, 10_000):
+        began = time.time()
+        assert html_text.Page("<p>text</p><a " + tail * n).text() == "text" and time.time() - began < 5
+    assert html_text.Page("<p title=\"a > b\" class='x'>one</p><p data-x=it's>two</p>" + "<p>three" * 20_000).text().startswith("one\n\ntwo\n\nthree")
+
+
+def test_html_names():
+    """Names of what stands beside an article leave out no text within it; adverts and comments go wherever they stand."""
+    body = "".join(f"<p>This is paragraph {k} of the text, long enough to be what the page is about, and without links.</p>" for k in range(5))
+    page = f"<body><nav><a href='/'>Home</a></nav><article><h1>Title</h1>{body}<div class='search results'><p>A search that found much.</p></div><p class='legal'>A legal word.</p><ul class='tags'><li>one</ul><div class='ad'>Buy!</div><div id='comments'><p>I like it.</p></div></article><div class='notice'>We care.</div>"
+    text = html_text.Page(page).text()
+    assert text.startswith("Title\n\nThis is paragraph 0") and text.endswith("A search that found much.\n\nA legal word.\n\none")
+
+
+class Tree(HTMLParser):
+    """Elements as [tag, parent's number, own text]; pages here close every tag."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.nodes, self.at = [["html", None, ""]], [0]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.nodes.append([tag, self.at[-1], ""])
+        self.at.append(len(self.nodes) - 1)
+
+    def handle_endtag(self, tag):
+        self.at.pop()
+
+    def handle_data(self, data):
+        self.nodes[self.at[-1]][2] += data
+
+
+def densest(page):
+    """Texts of the paragraphs under the element whose children's densities sum to most, worked out for each element from all that is below it."""
+    nodes = Tree(page).nodes
+
+    def below(i):
+        return [i] + [x for j, n in enumerate(nodes) if n[1] == i for x in below(j)]
+
+    def count(i):
+        under, links = below(i), set()
+        for j in under:
+            if nodes[j][0] == "a":
+                links |= set(below(j))
+        size = lambda js: sum(len(nodes[j][2].replace(" ", "")) for j in js)
+        return size(under), len(under) - 1, size(links), len(links)
+
+    c_all, _, lc_all, _ = count(0)
+    density = []
+    for i in range(len(nodes)):
+        c, t, lc, lt = count(i)
+        if not c:
+            density.append(0)
+            continue
+        base = math.log(c / max(c - lc, 1) * lc + lc_all / c_all * c + math.e)
+        density.append(c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(base))
+    sums = [sum(density[j] for j, n in enumerate(nodes) if n[1] == i) for i in range(len(nodes))]
+    return [nodes[j][2] for j in below(sums.index(max(sums))) if nodes[j][0] == "p"]
+
+
+def test_html_density():
+    """Pages of nothing but div, ul, li, a and p, without names: what density alone finds, against a second tree."""
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join("abcdefghij"[x] * 5 for x in rng.integers(0, 10, int(n)))
+    for _ in range(60):
+        links = lambda: "<ul>" + "".join(f"<li><a>{words(2)}</a></li>" for _ in range(int(rng.integers(4, 12)))) + "</ul>"
+        text = "".join(f"<p>{words(rng.integers(20, 80))}</p>" for _ in range(int(rng.integers(3, 12))))
+        page = f"<body><div>{links()}</div><div><div>{links()}<div><a>{words(3)}</a></div></div><div>{text}</div></div><div>{links()}</div></body>"
+        assert html_text.Page(page).text().split("\n\n") == densest(page)
+
+
 def test_simhash(spark, texts):
     prints, sets = {}, Sets()
     for d, t in texts.items():
