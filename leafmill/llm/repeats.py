@@ -290,7 +290,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every start of a repeated string of 400 bytes goes: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Every start of a repeated string of 400 bytes goes: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and what stays: n_kept (bytes), n_chars
+    and text (the bytes that stay; a character that is cut is shown by its replacement mark)."""
     out = remove_repeats(table(spark, sf_dir, "documents"), 400, "none")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), F.char_length(text).cast("long").alias("n_chars"), text.alias("text"))
