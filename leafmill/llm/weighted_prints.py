@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import row_key, table
+from leafmill.llm.common import row_key, save_point, table
 
 SAMPLES = 128
 #: Rows of each table of draws. A term takes its three rows by separate bits of its hash.
 ROWS = 1 << 14
 _MANY = 4096
+#: Bytes of text in one part of the documents' order, about; more where there would be over PARTS parts, whose ranges the driver gets.
+PART, PARTS = 8 << 20, 20_000
 
 
 class Sampler:
@@ -69,24 +71,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """part, tail, doc_id, text: dealt by part and sorted in it by descending doc_id (null last), equal ids by text.
+def with_next(docs: DataFrame) -> DataFrame:
+    """part, tail, doc_id, text: dealt by part and sorted in it by descending doc_id (null last), then by the row's key.
 
-    Each part ends with the first row of the following one (tail is true), so every row meets its next in its own task;
-    the last part ends with the very first row. The driver gets two values a part.
+    A part is a range of this order of about PART bytes: of doc_ids, and of keys where one doc_id (or null) has more than a part.
+    Each part ends with the first row of the following one (tail is true), so every row meets its next in its own task; the last
+    part ends with the very first row. The driver gets the ranges and the first key of each part. Rows that are equal in doc_id
+    and text are not told apart; they stay in one part.
     """
-    spread = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0]
-    splits = F.array(*[F.lit(int(x)) for x in sorted(set(spread or []))]).cast("array<bigint>")
-    dealt = docs.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(splits, lambda x: x < F.col("doc_id")))))
-    firsts = [tuple(x) for x in dealt.groupBy("part").agg(F.max("doc_id")).orderBy(F.desc("part")).collect()]
-    known = docs.sparkSession.createDataFrame([(part, first, firsts[k - 1][0]) for k, (part, first) in enumerate(firsts)], "part int, first long, before int")
-    own, also = F.struct("part", F.lit(False).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(True).alias("tail"))
-    goes = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, also)).otherwise(F.array(own))
-    dealt = dealt.join(F.broadcast(known), "part")
-    order = ["part", "tail", F.desc_nulls_last("doc_id"), "k1", "k2"]
+    spark = docs.sparkSession
     k1, k2 = row_key()
-    rows = dealt.withColumn("k1", k1).withColumn("k2", k2).select(F.inline(goes), "doc_id", "k1", "k2", "text")
-    return rows.repartition(parts, "part").sortWithinPartitions(*order).select("part", "tail", "doc_id", "text")
+    keys = save_point(docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("bytes")))
+    total = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    size = max(PART, -(-total // PARTS))
+    ranges = max(1, -(-total // size))
+    found = keys.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []
+    ends = Counter(found)
+    # a doc_id that several ranges end at has one of its own, as the one before it ends, too
+    splits = sorted({*ends, *(max(x - 1, -(2**63)) for x, n in ends.items() if n > 1)})
+    # how many of the splits are below doc_id, by halving
+    steps = max(1, len(splits)).bit_length()
+    below = f"aggregate(sequence({steps}, 0, -1), 0, (p, i) -> if(get(splits, p + shiftleft(1, i) - 1) < doc_id, p + shiftleft(1, i), p))"
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("splits", F.array(*[F.lit(int(x)) for x in splits]).cast("array<bigint>")).withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.expr(below))).drop("splits")
+
+    sizes = dealt(keys).groupBy("part").agg(F.sum("bytes").alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    cuts = {r.part: max(1, -(-r.bytes // size)) for r in sizes.collect() if r.low == r.high or r.low is None}
+    known = spark.createDataFrame(list(cuts.items()) or [(-2, 1)], "part int, cuts int")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # keys are hashes, so equal ranges of them hold about as much each
+        sub = F.floor((F.shiftright("k1", 32) + 2**31) * F.coalesce("cuts", F.lit(1)) / 2**32).cast("int")
+        return dealt(rows).join(F.broadcast(known), "part", "left").withColumn("sub", sub).drop("cuts")
+
+    least = F.min(F.struct(F.bitwise_not("doc_id").alias("d"), "k1", "k2"))
+    firsts = placed(keys).groupBy("part", "sub").agg(least.alias("x")).orderBy(F.desc("part"), "sub").collect()
+    rows = [(i, r.part, r["sub"], *r.x, (i - 1) % len(firsts)) for i, r in enumerate(firsts)]
+    of = spark.createDataFrame(rows, "at int, part int, sub int, d long, f1 long, f2 long, before int")
+    is_first = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & F.bitwise_not("doc_id").eqNullSafe(F.col("d"))
+    own, also = F.struct(F.col("at").alias("part"), F.lit(False).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(True).alias("tail"))
+    goes = F.when(is_first, F.array(own, also)).otherwise(F.array(own))
+    spread = placed(docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")).join(F.broadcast(of), ["part", "sub"]).select(F.inline(goes), "doc_id", "k1", "k2", "text")
+    order = ["part", "tail", F.desc_nulls_last("doc_id"), "k1", "k2"]
+    return spread.repartition(max(1, len(firsts)), "part").sortWithinPartitions(*order).select("part", "tail", "doc_id", "text")
 
 
 def prints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -97,7 +125,6 @@ def prints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     document is its own next. An empty table gives no rows.
     """
     kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
@@ -110,7 +137,7 @@ def prints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 if done:
                     continue
                 text = text or ""
-                own = sampler(text)
+                own = pending[2] if pending is not None and pending[1] == text else sampler(text)
                 if pending is not None:
                     was_id, was, code = pending
                     new = edited(was, text)
@@ -121,7 +148,7 @@ def prints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return with_next(docs, max(parts, 1)).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import regex
 import xxhash
 
 import __spark_entry__ as entry
-from leafmill.llm import html_text, near_texts, pieces, repeats, simhash_docs
+from leafmill.llm import html_text, near_texts, pieces, repeats, simhash_docs, weighted_prints
 from leafmill.llm.sharding import longest_first
 
 FOLDER = "/root/testdata/sf0.001"
@@ -151,6 +151,7 @@ def test_repeats(spark, texts, monkeypatch, hot):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         runs = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        assert r.n_kept == len(kept) and r.n_chars == len(r.text) and (r.text == texts[r.doc_id]) == (not any(gone)) and r.text == kept.decode(errors="replace")
 
 
 def test_repeats_keep_first(spark):
@@ -337,6 +338,18 @@ def test_quality(spark):
     assert len(held) > 50 and sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_prints_parts(spark, monkeypatch):
+    """Rows of one doc_id, of null, and few bytes a part: the order of documents does not depend on how it is cut."""
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 50, int(rng.integers(0, 30))))
+    rows = [(int(d), text()) for d in rng.integers(-50, 50, 150)] + [(7, text()) for _ in range(150)] + [(None, text()) for _ in range(100)] + [(7, "same"), (7, "same"), (-(2**63), "least"), (2**63 - 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = sorted(map(tuple, weighted_prints.prints(docs).collect()), key=str)
+    monkeypatch.setattr(weighted_prints, "PART", 1500)
+    assert len(whole) == len(rows) and sorted(map(tuple, weighted_prints.prints(docs).collect()), key=str) == whole
+    assert weighted_prints.with_next(docs.select("doc_id", "text")).groupBy("part").count().agg({"count": "max"}).first()[0] < 100
+
+
 def test_prints(spark, texts):
     order = sorted(texts, reverse=True)
     got = {r.doc_id: r for r in rows(spark, "op10_fingerprints")}
