@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.sources.shared import save_point, sent, shared_folder  # noqa: F401 (for the operators)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save_point(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder of spark.checkpoint.dir; a private folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+class Tables:
+    """Tables of one schema that follow each other in the shared folder; each overwrites the one before the last."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.schema, self.count = spark, schema, 0
+        self.base = f"{shared_folder(spark)}/{uuid4().hex}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.base}-{self.count % 2}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
 
 
 def text_key(text: Column | str) -> list[Column]:
@@ -47,6 +56,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts (column number `text`) have about `most` bytes, so that few are held as Python objects; a longer text has one of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(sizes // most)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def whole_groups(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """From batches sorted by `by`: frames in which every group is whole, with the offsets at which groups start and the end.
 

@@ -1,6 +1,7 @@
 """Each query of the subpackage against a brute-force version on the smallest tables, a round trip, or held-out accuracy."""
 
 import hashlib
+import itertools
 import math
 import re
 import time
@@ -14,7 +15,7 @@ import regex
 import xxhash
 
 import __spark_entry__ as entry
-from leafmill.llm import html_text, near_texts, pieces, repeats, simhash_docs, weighted_prints
+from leafmill.llm import html_text, near_texts, pieces, quality, repeats, simhash_docs, weighted_prints
 from leafmill.llm.sharding import longest_first
 
 FOLDER = "/root/testdata/sf0.001"
@@ -66,7 +67,7 @@ def test_lines(spark, texts):
                 if n not in seen:
                     seen[n] = (d, i)
                     h = [xxhash.xxh64_intdigest(w, 42) for w in words]
-                    prints[n], codes[n] = votes(h), [x & 32767 for x in h]
+                    prints[n], codes[n] = votes(h), words
     names, sets = list(seen), Sets()
     for i, a in enumerate(names):
         for b in names[:i]:
@@ -332,6 +333,41 @@ def test_simhash_cut_shards(spark):
     assert sets[0] == sets[1] == want
 
 
+def test_quality_marginals():
+    """Forward-backward against all labellings of documents of up to seven lines, and the gradient's expected transitions."""
+    rng = np.random.default_rng(6)
+    k = quality.FEATURES
+    model = quality.Model([np.sort(rng.random(4)) for _ in range(k)], *(rng.normal(size=(k, quality.BINS)) / 3 for _ in range(3)), rng.normal(size=2), rng.normal(size=(2, 2)), 0.3)
+    counts = np.array([1, 4, 7, 2, 5])
+    starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    first = np.zeros(counts.sum(), bool)
+    first[starts] = True
+    x = rng.random((counts.sum(), k))
+    bins = model.bins(x)
+    emissions = model.emissions(bins, first)
+    good, pairs = quality.marginals(emissions, starts, counts, model)
+    want, moves = np.zeros(len(x)), np.zeros(6)
+    for s, n in zip(starts, counts, strict=True):
+        weights, labellings = [], list(itertools.product((0, 1), repeat=int(n)))
+        for y in labellings:
+            w = model.start[y[0]]
+            for t in range(n):
+                own = model.bias + sum(model.own[f, bins[s + t, f]] for f in range(k))
+                own += sum(model.before[f, bins[s + t - 1, f]] for f in range(k)) if t else 0
+                own += sum(model.after[f, bins[s + t + 1, f]] for f in range(k)) if t < n - 1 else 0
+                w += y[t] * own + (model.step[y[t - 1], y[t]] if t else 0)
+            weights.append(math.exp(w))
+        for y, w in zip(labellings, weights, strict=True):
+            p = w / sum(weights)
+            want[s : s + n] += p * np.array(y)
+            moves[4 + y[0]] += p
+            for a, b in itertools.pairwise(y):
+                moves[2 * a + b] += p
+    assert np.allclose(good, want) and np.allclose(pairs, moves)
+    sizes = rng.integers(0, 90, len(x)).astype(float)
+    assert np.allclose(quality.aggregate(good, sizes, starts), [np.average(want[s : s + n], weights=sizes[s : s + n] + 1) for s, n in zip(starts, counts, strict=True)])
+
+
 def test_quality(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [r for r in rows(spark, "op9_quality", "/root/testdata/sf0.01") if r.held_out and r.doc_id in labels]

@@ -107,12 +107,12 @@ def test_pieces(docs, none):
 
 
 def test_neighbours(spark):
-    rows = [(i, [float(i), 1.0], 0) for i in range(30)] + [(40, None, 0), (41, [0.0, 0.0], 0), (42, [float("nan"), 1.0], 0), (43, [1.0, None], 0), (44, [1.0], 0), (None, [1.0, 1.0], 0), (50, [3.0, 1.0], 0), (51, [3.0, 1.0], 0)]
+    rows = [(i, [float(i), 1.0], 0) for i in range(30)] + [(40, None, 0), (41, [0.0, 0.0], 0), (42, [float("nan"), 1.0], 0), (43, [1.0, None], 0), (44, [1.0], 0), (None, [1.0, 1.0], 0), (50, [3.0, 1.0], 0), (51, [3.0, 1.0], 0), (60, [1.0, 2.0, 3.0], 0), (61, [1.0, 2.0, 5.0], 0), (70, [9.0], 0)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     out = {}
     for r in neighbours.nearest(v, F.col("vec_id") % 10 == 0, k=3).collect():
         out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert sorted(out) == [0, 10, 20, 50]
+    assert sorted(out) == [0, 10, 20, 50, 60, 70] and out[60] == [(1, 61, 2.0)] and out[70] == [(1, 44, 8.0)]  # each length by itself
     assert sorted(out[50]) == [(1, 3, 0.0), (2, 51, 0.0), (3, 2, 1.0)]
     assert sorted(out[10]) == [(1, 9, 1.0), (2, 11, 1.0), (3, 8, 2.0)]
     assert len(neighbours.nearest(v.filter("vec_id in (0, 1)"), F.col("vec_id") == 0).collect()) == 1
