@@ -15,15 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import row_key, save_point, table, utf8, whole_groups
+from leafmill.llm.common import row_key, save_point, slices, table, utf8, whole_groups
 
 GRAM = 32
 #: Strings in one stretch at most; longer ones are cut.
 LONGEST = 2048
-#: Different stretches of a shard up to which one task sorts its suffixes. In larger shards strings are counted by hash, shuffled by that hash.
-HOT = 4000
-#: Bytes that are sorted together.
-SORTED = 1 << 21
+#: Bytes of a shard's different stretches up to which one task sorts its suffixes. In larger shards strings are counted by hash, shuffled by that hash.
+HOT = 3 << 20
+#: Bytes of smaller shards that are sorted together.
+SORTED = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -68,29 +68,31 @@ def stretches(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes by their first `length` bytes, ties by position; and the rank by position, equal for equal first bytes. length: 8 at least."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for i in range(8):
-        key = key << np.uint64(8) | padded[i : i + n]
+        key <<= np.uint64(8)
+        key |= padded[i : i + n]
     known, step = 8, 8
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        differs = np.zeros(n, bool)
+        key = key[order]
+        differs[1:] = key[1:] != key[:-1]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(differs, dtype=np.int32)
         if known == length:
             return order, rank
         step = min(known, length - known)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = (rank * (n + 2) + after).view(np.uint64)
+        key = rank.astype(np.uint64) * np.uint64(n + 2)
+        key[: n - step] += rank[step:].astype(np.uint64) + np.uint64(1)
         known += step
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
     """Index of the nearest smaller value before each, or -1."""
-    found = np.arange(-1, len(values) - 1)
-    todo = np.arange(len(values))
+    found = np.arange(-1, len(values) - 1, dtype=np.int32)
+    todo = np.arange(len(values), dtype=np.int32)
     while len(todo := todo[(found[todo] >= 0) & (values[found[todo]] > values[todo])]):
         found[todo] = found[found[todo]]
     return found
@@ -103,14 +105,15 @@ def earlier_matches(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     position in suffix order. It has `length` bytes or more if and only if one of both has the same rank.
     """
     order, rank = suffix_order(data, length)
-    wanted = np.full(len(data), -1, np.int64)
-    wanted[starts] = np.arange(len(starts))
+    wanted = np.full(len(data), -1, np.int32)
+    wanted[starts] = np.arange(len(starts), dtype=np.int32)
     at = wanted[order]
+    del order, wanted
     at = at[at >= 0]
     ranks = rank[starts][at]
     before = previous_smaller(at)
     after = len(at) - 1 - previous_smaller(at[::-1])[::-1]
-    found = np.full(len(starts), -1, np.int64)
+    found = np.full(len(starts), -1, np.int32)
     for near, there in ((after, after < len(at)), (before, before >= 0)):
         near = np.where(there, near, 0)
         same = there & (ranks[near] == ranks)
@@ -130,7 +133,7 @@ def _occurrences(texts: DataFrame, length: int) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("k1", "k2", "shard", "s1", "s2")), ("start", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             shards, starts, counts, hashes, rows, twices = [], [], [], [], [], []
             for i, text in enumerate(utf8(batch.column(3))):
                 shard, start, end, twice = stretches(text, length)
@@ -154,11 +157,11 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("shard", "copies", "start", "n", "hot")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             out = []
             for doc_id, k1, k2, text, x in zip(*(batch.column(k).to_pylist() for k in range(3)), utf8(batch.column(3)), batch.column(4).to_pylist(), strict=True):
                 out += [(doc_id, k1, k2, s["shard"], s["copies"], s["start"], s["hot"], text[s["start"] : s["start"] + s["n"] + length - 1]) for s in x]
-                if len(out) > 20_000:
+                if len(out) > 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
                     out = []
             if out:
@@ -177,9 +180,9 @@ def _sorted_matches(cut: DataFrame, length: int, keep: str) -> DataFrame:
         data = np.frombuffer(b"".join(frame["bytes"]), np.uint8)
         offset = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         counts = sizes - length + 1
-        row = np.repeat(np.arange(len(frame)), counts)
-        within = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(counts)])[:-1], counts)
-        found = earlier_matches(data, offset[row] + within, length)
+        row = np.repeat(np.arange(len(frame), dtype=np.int32), counts)
+        within = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+        found = earlier_matches(data, offset.astype(np.int32)[row] + within, length)
         marked = found >= 0
         if keep == "none":
             marked[found[marked]] = True
@@ -241,7 +244,8 @@ def repeated_spans(texts: DataFrame, length: int, keep: str) -> DataFrame:
     shards = found.groupBy("shard").agg(F.count("*").alias("m"), F.bool_or("twice").alias("t")).filter("m > 1 or t")
     found = save_point(found.join(shards.select("shard"), "shard"))
     each = save_point(found.groupBy(*stretch).agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.bool_or("twice").alias("twice")))
-    many = each.groupBy("shard").agg(F.count("*").alias("m"), F.bool_or("twice").alias("t")).filter("m > 1 or t").select("shard", (F.col("m") > HOT).alias("hot"))
+    size = F.sum(F.col("first.n") + length - 1)
+    many = each.groupBy("shard").agg(F.count("*").alias("m"), F.bool_or("twice").alias("t"), size.alias("size")).filter("m > 1 or t").select("shard", (F.col("size") > HOT).alias("hot"))
     wanted = each.join(many, "shard").select("shard", "copies", "hot", "first.k1", "first.k2", "first.start", "first.n")
     cut = _cut(texts, wanted, length)
     whole = found.join(each.filter("copies > 1").select(*stretch, "first"), stretch)
@@ -267,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             spans, kept, sizes = [], [], []
             for text, x in zip(utf8(batch.column(3)), batch.column(4).to_pylist(), strict=True):
                 merged: list[list[int]] = []
