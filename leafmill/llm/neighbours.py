@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import save_point, table
+from leafmill.llm.common import save_point, sent, table
 
-#: Vectors of one shard and queries of one block, about.
-SHARD, BLOCK = 16_384, 4096
+#: Vectors of one shard, about, and queries that are searched together.
+SHARD, BLOCK = 16_384, 256
 #: Links that a vector chooses on each layer, those it may have after others chose it, and the nearest ones it chooses from.
 LINKS, MOST, NEAR = 16, 48, 64
 #: Each layer has this part of the one below.
@@ -166,75 +168,86 @@ def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
 
 
 def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """vec_id, v (array of double) of those that take part: no null, zero or non-finite component's vector, and of the most frequent length."""
+    """vec_id, v (array of double), dim of those that take part: no null, zero or non-finite component's vector."""
     v = F.col(f"`{vector}`").cast("array<double>")
     out = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("v"))
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
-    out = out.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(sound, F.lit(False)))
-    size = out.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return out.filter(F.size("v") == (size["n"] if size else 0))
+    return out.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(sound, F.lit(False))).withColumn("dim", F.size("v"))
+
+
+def _indexed(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """One row with the graph of a shard: its layers, the vectors, and of equal vectors the k + 1 least ids, which suffice for any query."""
+    x = np.stack(frame["v"].values)
+    frame = frame.assign(b=[r.tobytes() for r in x]).sort_values("vec_id", kind="stable")
+    frame["copy"] = frame.groupby("b", sort=False).cumcount()
+    nodes = frame[frame["copy"] == 0]
+    place = dict(zip(nodes["b"], range(len(nodes)), strict=True))
+    ids = np.full((len(nodes), k + 1), -1, np.int64)
+    few = frame[frame["copy"] <= k]
+    ids[few["b"].map(place).values, few["copy"].values] = few["vec_id"].values
+    x = np.stack(nodes["v"].values)
+    layers = build(x.astype(np.float32), nodes["seed"].values)
+    flat = [[len(m), links.shape[1], m.tobytes(), links.astype(np.int32).tobytes()] for m, links in layers]
+    return pd.DataFrame({"dim": [x.shape[1]], "shard": [frame["shard"].iloc[0]], "x": [x.tobytes()], "ids": [ids.tobytes()], "sizes": [[s[0] for s in flat]], "widths": [[s[1] for s in flat]], "members": [[s[2] for s in flat]], "links": [[s[3] for s in flat]]})
+
+
+class Shard:
+    """A shard's graph as it was stored."""
+
+    def __init__(self, row: pd.Series) -> None:
+        self.x = np.frombuffer(row["x"], np.float64).reshape(-1, row["dim"])
+        self.x32 = self.x.astype(np.float32)
+        self.ids = np.frombuffer(row["ids"], np.int64).reshape(len(self.x), -1)
+        self.layers = [(np.frombuffer(m, np.int32), np.frombuffer(e, np.int32).reshape(n, w)) for n, w, m, e in zip(row["sizes"], row["widths"], row["members"], row["links"], strict=True)]
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, k: int, kept: int) -> pd.DataFrame:
+        """query_id, vec_id, score: of 4 k found for each query (q, with its id) the k nearest by exact distance."""
+        found = search(self.x32, self.layers, q.astype(np.float32), max(kept, 4 * k))[:, : 4 * k]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i, row in enumerate(found):
+            row = row[row >= 0]
+            d = np.sqrt(((self.x[row] - q[i]) ** 2).sum(1))
+            pick = self.ids[row]
+            d = np.repeat(d, pick.shape[1])
+            pick = pick.reshape(-1)
+            real = (pick >= 0) & (pick != own[i])
+            pick, d = pick[real], d[real]
+            order = np.lexsort((pick, d))[:k]
+            out.append((np.full(len(order), own[i]), pick[order], d[order]))
+        ids, picks, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": ids, "vec_id": picks, "score": scores})
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, kept: int = KEPT, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by Euclidean distance in double precision, ties to smaller vec_id.
 
     vectors: vec_id, embedding; queries: which rows are queries, all rows but its own id being candidates. Null ids and vectors that
-    are null, zero, or hold null or non-finite components take no part, neither do those of another length than most.
-    Equal vectors of one shard are one node, with their k + 1 least ids, which suffice for the result. Shards are dealt by hash;
-    each is indexed once and each block of queries is searched in it. Fewer than k candidates: all of them.
+    are null, zero, or hold null or non-finite components take no part; vectors of different lengths have no distance, so each length is
+    searched by itself. Equal vectors of one shard are one node. Shards are dealt by hash; each is indexed once, and its graph moves once
+    to where the queries, in blocks, pass by it. Fewer than k candidates: all of them.
     """
     rows = usable(vectors)
-    n = rows.count()
-    shards = max(1, -(-n // shard))
-    asked = rows.filter(queries)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("seed", F.xxhash64(F.lit("height"), "vec_id"))
-
-    def index(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame["v"].values)
-        frame = frame.assign(b=[r.tobytes() for r in x]).sort_values("vec_id", kind="stable")
-        groups = frame.groupby("b", sort=False)
-        frame["copy"] = groups.cumcount()
-        nodes = frame[frame["copy"] == 0]
-        place = dict(zip(nodes["b"], range(len(nodes)), strict=True))
-        ids = np.full((len(nodes), k + 1), -1, np.int64)
-        few = frame[frame["copy"] <= k]
-        ids[few["b"].map(place).values, few["copy"].values] = few["vec_id"].values
-        x = np.stack(nodes["v"].values)
-        layers = build(x.astype(np.float32), nodes["seed"].values)
-        flat = [[len(m), links.shape[1], m.tobytes(), links.astype(np.int32).tobytes()] for m, links in layers]
-        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "dim": [x.shape[1]], "x": [x.tobytes()], "ids": [ids.tobytes()], "sizes": [[s[0] for s in flat]], "widths": [[s[1] for s in flat]], "members": [[s[2] for s in flat]], "links": [[s[3] for s in flat]]})
-
-    kinds = "shard int, dim int, x binary, ids binary, sizes array<int>, widths array<int>, members array<binary>, links array<binary>"
-    indexed = save_point(dealt.groupBy("shard").applyInPandas(index, kinds))
-
-    def look(asked: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(asked) or not len(shards):
-            return empty
-        s = shards.iloc[0]
-        x = np.frombuffer(s["x"], np.float64).reshape(-1, s["dim"])
-        ids = np.frombuffer(s["ids"], np.int64).reshape(len(x), -1)
-        layers = [(np.frombuffer(m, np.int32), np.frombuffer(e, np.int32).reshape(n, w)) for n, w, m, e in zip(s["sizes"], s["widths"], s["members"], s["links"], strict=True)]
-        x32, out = x.astype(np.float32), []
-        for a in range(0, len(asked), 256):
-            q, own = np.stack(asked["v"].values[a : a + 256]), asked["vec_id"].values[a : a + 256]
-            found = search(x32, layers, q.astype(np.float32), max(kept, 4 * k))[:, : 4 * k]
-            for i, row in enumerate(found):
-                row = row[row >= 0]
-                d = np.sqrt(((x[row] - q[i]) ** 2).sum(1))
-                pick = ids[row]
-                d = np.repeat(d, pick.shape[1])
-                pick = pick.reshape(-1)
-                real = (pick >= 0) & (pick != own[i])
-                pick, d = pick[real], d[real]
-                order = np.lexsort((pick, d))[:k]
-                out.append(pd.DataFrame({"query_id": own[i], "vec_id": pick[order], "score": d[order]}))
-        return pd.concat(out) if out else empty
-
-    dealt_queries = asked.select("vec_id", "v", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    dealt_index = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = dealt_queries.groupBy("shard", "block").cogroup(dealt_index.groupBy("shard", "block")).applyInPandas(look, "query_id long, vec_id long, score double")
+    sizes = save_point(rows.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
+    lengths = sizes.count()
+    dealt = rows.join(sent(sizes, 32 * lengths), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    graph = "x binary, ids binary, sizes array<int>, widths array<int>, members array<binary>, links array<binary>"
+    indexed = dealt.select("dim", "shard", "vec_id", "v", F.xxhash64(F.lit("height"), "vec_id").alias("seed")).groupBy("dim", "shard").applyInPandas(lambda frame: _indexed(frame, k), f"dim int, shard int, {graph}")
+    asked = rows.filter(queries).join(sent(sizes, 32 * lengths), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+    both = save_point(indexed).withColumn("asks", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here: Shard | None = None
+        for frame in frames:
+            graphs = np.flatnonzero(~frame["asks"].values.astype(bool)).tolist()
+            for a, b in zip([-1, *graphs], [*graphs, len(frame)], strict=True):
+                if a >= 0:
+                    here = Shard(frame.iloc[a])
+                for s in range(a + 1, b, BLOCK):
+                    e = min(s + BLOCK, b)
+                    yield here.nearest(frame["vec_id"].values[s:e].astype(np.int64), np.stack(frame["v"].values[s:e]), k, kept)
+
+    at = ["dim", "shard"]
+    found = both.repartition(*at).sortWithinPartitions(*at, "asks").mapInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
