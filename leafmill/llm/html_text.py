@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import apart, table
+from leafmill.llm.common import apart, slices, table
 
 _OPEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 #: The rest of a tag. A quote opens a value behind "=" alone; no part can match in two ways, so that no text is tried again.
@@ -246,7 +246,7 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of pages but the html, and main_text. A null or empty page has an empty text; every page is read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             texts = [Page(h).text() if h else "" for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "main_text"])
 

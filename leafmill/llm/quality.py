@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import apart, table, utf8
+from leafmill.llm.common import apart, slices, table, utf8
 
-#: Labelled documents for training at most.
-SAMPLE = 6000
+#: Labelled documents for training at most, and lines that each may have for it.
+SAMPLE, LINES = 6000, 500
 #: Of each feature: bounded by quantiles of lines in good documents and in bad ones.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 BINS = 2 * len(QUANTILES) + 1
@@ -171,15 +171,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on the `sample` labelled documents of least hash of doc_id at most, leaving out those with crc32(doc_id) mod 3 of 1.
 
-    labels: doc_id, quality. Null ids, qualities and texts take no part. Only the sample's line features reach the driver.
+    labels: doc_id, quality. Null ids, qualities and texts take no part, nor do texts of over LINES lines; of a doc_id with several texts the one of
+    least hash does. Only the sample's line features reach the driver, SAMPLE x LINES lines at most.
     With one class or none, all documents get the score of that class, or 0.5.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).na.drop()
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).filter(F.regexp_count("text", F.lit("\n")) < LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             x = [line_features(t).astype(np.float32).tobytes() for t in utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
@@ -197,9 +199,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs and quality_score, 0 to 1. A null text counts as empty, which is one empty line. Any length of text is scored whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             rows = [line_features(t).astype(np.float32).astype(np.float64) for t in utf8(batch.column(batch.num_columns - 1))]
             x, counts = np.concatenate(rows), np.array([len(r) for r in rows])
             starts = np.concatenate([[0], np.cumsum(counts)])[:-1]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import apart, row_key, save_point, table, utf8, whole_groups
+from leafmill.llm.common import apart, row_key, save_point, slices, table, utf8, whole_groups
 from leafmill.llm.components import components
 
 #: 64 bits in five blocks. Up to 3 differing bits leave two blocks untouched, so each pair of blocks is a shard key.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     a, b = row_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in (part for whole in batches for part in slices(whole, 3)):
             fp = np.array([simhash(t, words) for t in utf8(x.column(3))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array(fp)], ["doc_id", "k1", "k2", "fp"])
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import row_key, save_point, table
+from leafmill.llm.common import row_key, save_point, slices, table
 
 SAMPLES = 128
 #: Rows of each table of draws. A term takes its three rows by separate bits of its hash.
@@ -129,7 +129,7 @@ def prints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
         part, done, pending = None, False, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             out = []
             for p, tail, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if p != part:
