@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Fixed value: what counts as a number in a cell.
 NUMBER = r"\d+(?:[.,]\d+)?"
 PERCENT = r"^\d+(\.\d+)?%$"
 TABLE = ["doc_id", "table_id"]
@@ -117,7 +118,8 @@ def markdown(cells: DataFrame) -> DataFrame:
 
 
 def looked_up(asked: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """asked with answer and value: no_table, not_data, coordinates (rows and columns are to be named), or value, whether found.
+    """ask_id, answer, value, found, available, rows, columns, markdown. The answer is no_table (then available lists the document's), not_data (then the
+    table as markdown), coordinates (rows and columns, of which one is to be named), or value, whether found.
 
     asked: ask_id, doc_id, table_id, row_label, col_name; tables: doc_id, table_id, kind, validated.
     """
@@ -127,7 +129,13 @@ def looked_up(asked: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFram
     sound = F.col("validated") & (F.col("kind") == "data")
     answer = F.when(F.col("kind").isNull(), "no_table").when(~sound, "not_data").when(F.col("row_label").isNull() | F.col("col_name").isNull(), "coordinates").otherwise("value")
     out = out.withColumn("answer", answer).withColumn("value", F.when(F.col("answer") == "value", F.col("value")))
-    return out.select("ask_id", "answer", "value", F.when(F.col("answer") == "value", F.col("value").isNotNull()).alias("found"))
+    # what helps where there is no value: the document's tables, the table's rows and columns, or the table as it stands
+    ids = tables.groupBy("doc_id").agg(F.sort_array(F.collect_set("table_id")).alias("available"))
+    labels = cells.select(*ROW, "row_label").distinct().groupBy(*TABLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "row_label"))), lambda x: x["row_label"]).alias("rows"))
+    names = cells.groupBy(*TABLE).agg(F.sort_array(F.collect_set("col_name")).alias("columns"))
+    out = out.join(ids, "doc_id", "left").join(labels, TABLE, "left").join(names, TABLE, "left").join(markdown(cells), TABLE, "left")
+    only = lambda c, a: F.when(F.col("answer") == a, F.col(c)).alias(c)
+    return out.select("ask_id", "answer", "value", F.when(F.col("answer") == "value", F.col("value").isNotNull()).alias("found"), only("available", "no_table"), only("rows", "coordinates"), only("columns", "coordinates"), only("markdown", "not_data"))
 
 
 def pairwise(cells: DataFrame) -> DataFrame:

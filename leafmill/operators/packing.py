@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 #: A chunk is cut to no fewer tokens than this, and nothing is added to less room; discussion of one table is bounded.
 USEFUL, DISCUSSION = 80, 700
+#: What claims something of all cases, and two percents that a comparing word joins.
+UNIVERSAL = r"(all (four )?datasets|所有(四個)?資料集|全面)"
+COMPARED = r"(\d+\.\d+)%[^。\n]{0,26}?(?:而|vs\.?|versus)[^。\n]{0,26}?(\d+\.\d+)%"
 
 
 def with_whole_tables(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -51,12 +54,14 @@ def packed(candidates: DataFrame, useful: int = USEFUL) -> DataFrame:
     sentences = "split(x.text, '(?<=[。！？.!?])\\\\s+')"
     fit = f"""aggregate({sentences}, struct(cast(array() as array<string>) as s, 0 as n, false as over), (b, y) -> if(b.over or b.n + size({words.format(t="y")}) > a.room, named_struct('s', b.s, 'n', b.n, 'over', true),
         named_struct('s', concat(b.s, array(y)), 'n', b.n + size({words.format(t="y")}), 'over', false)), b -> if(size(b.s) > 0, array_join(b.s, ' '), array_join(slice({words.format(t="x.text")}, 1, a.room), ' ')))"""
-    cut = f"if(x.n_tokens > a.room and x.kind = 'text' and a.room > {useful}, {fit}, x.text)"
-    size = f"if(x.n_tokens > a.room and x.kind = 'text' and a.room > {useful}, size({words.format(t=fit)}), x.n_tokens)"
-    fate = f"case when a.room <= {useful} then 'dropped' when x.n_tokens <= a.room then 'kept' when x.kind != 'text' then 'dropped' when {size} < {useful} then 'dropped' else 'cut' end"
+    long = f"x.n_tokens > a.room and x.kind = 'text' and a.room > {useful}"
+    # what would be shown of the chunk and its size, then its fate, each worked out once
+    shown = f"transform(array(if({long}, {fit}, x.text)), t -> named_struct('t', t, 'size', if({long}, size({words.format(t='t')}), x.n_tokens)))"
+    fate = f"case when a.room <= {useful} then 'dropped' when x.n_tokens <= a.room then 'kept' when x.kind != 'text' then 'dropped' when y.size < {useful} then 'dropped' else 'cut' end"
+    fated = f"transform({shown}, y -> named_struct('t', y.t, 'size', y.size, 'fate', {fate}, 'goes', {fate} = 'dropped'))"
     kind = "array<struct<place:int,chunk_id:bigint,outcome:string,n:int,tokens:int,text:string>>"
-    row = f"named_struct('place', cast(x.place as int), 'chunk_id', x.chunk_id, 'outcome', {fate}, 'n', if({fate} = 'dropped', cast(null as int), a.n + 1), 'tokens', cast(if({fate} = 'dropped', 0, {size}) as int), 'text', if({fate} = 'dropped', cast(null as string), {cut}))"
-    step = f"named_struct('room', cast(a.room - if({fate} = 'dropped', 0, {size}) as int), 'n', a.n + if({fate} = 'dropped', 0, 1), 'out', concat(a.out, array({row})))"
+    row = "named_struct('place', cast(x.place as int), 'chunk_id', x.chunk_id, 'outcome', z.fate, 'n', if(z.goes, cast(null as int), a.n + 1), 'tokens', cast(if(z.goes, 0, z.size) as int), 'text', if(z.goes, cast(null as string), z.t))"
+    step = f"get(transform({fated}, z -> named_struct('room', cast(a.room - if(z.goes, 0, z.size) as int), 'n', a.n + if(z.goes, 0, 1), 'out', concat(a.out, array({row})))), 0)"
     fold = f"aggregate(c, named_struct('room', cast(budget as int), 'n', 0, 'out', cast(array() as {kind})), (a, x) -> {step}, a -> a.out)"
     return listed.select("query_id", F.inline(F.expr(fold)))
 
@@ -104,8 +109,9 @@ def named_first(hits: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def claims(answers: DataFrame) -> DataFrame:
-    """answers with universal (it claims something of all cases) and complementary (its two percents add up to 100 within 0.6)."""
-    universal = F.col("answer").rlike(r"(?iu)\b(on|in|across) (all|every)\b|\balways\b|所有.{0,10}(優於|都)|全部.{0,6}優於")
-    p = F.transform(F.regexp_extract_all("answer", F.lit(r"(\d+(?:\.\d+)?)%"), F.lit(1)), lambda x: x.cast("double"))
-    pair = F.when(F.size("_p") == 2, F.abs(F.get("_p", F.lit(0)) + F.get("_p", F.lit(1)) - 100) < 0.6).otherwise(False)
-    return answers.withColumn("universal", universal).withColumn("_p", p).withColumn("complementary", pair).drop("_p")
+    """answers with universal (a sentence claims something of all cases), pairs (of percents that a comparing word joins) and mismatched (those of
+    them that do not add up to 100 within 0.6, as they would if both were of one row)."""
+    universal = F.exists(F.split("answer", r"[.。\n]"), lambda s: s.rlike(f"(?iu){UNIVERSAL}"))
+    side = lambda k: F.transform(F.regexp_extract_all("answer", F.lit(COMPARED), F.lit(k)), lambda x: x.cast("double"))
+    off = F.size(F.filter(F.zip_with(side(1), side(2), lambda a, b: F.abs(a + b - 100) >= 0.6), lambda x: x))
+    return answers.withColumn("universal", universal).withColumn("pairs", F.size(side(1))).withColumn("mismatched", off)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BUCKETS = {
     "retrieval_seconds": (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5), "llm_seconds": (0.5, 1, 2, 3, 5, 8, 12, 20, 30),
     "request_seconds": (0.5, 1, 2, 3, 5, 8, 12, 20, 30), "context_tokens": (500, 1000, 1500, 2000, 3000, 4000, 5000, 6000, 6500, 7000),
+    "prompt_tokens": (500, 1000, 2000, 3000, 4000, 5000, 6000, 7000, 8000, 10000),
     "index_seconds": (1, 2, 5, 10, 20, 40, 80, 160),
 }
 
@@ -42,6 +43,22 @@ def histogram(values: DataFrame, by: list[str], bounds: tuple[float, ...]) -> Da
     return wide.select(*by, F.inline(rows))
 
 
+def histograms(events: DataFrame) -> DataFrame:
+    """metric, le, n of all histograms of the log. Summaries neither search nor pack, so that only their whole time counts."""
+    q = events.filter("event = 'query'")
+    searched = q.filter("route != 'summary'")
+    seconds = lambda c: F.col(c) / 1000
+    values = {
+        "retrieval_seconds": (searched, seconds("retrieval_ms")), "llm_seconds": (searched, seconds("llm_ms")), "request_seconds": (q, seconds("total_ms")),
+        "context_tokens": (searched, F.col("context_tokens")), "prompt_tokens": (searched, F.col("prompt_tokens")), "index_seconds": (events.filter("event = 'index'"), seconds("total_ms")),
+    }
+    out = None
+    for name, (rows, x) in values.items():
+        one = histogram(rows.select(F.lit(name).alias("metric"), x.cast("double").alias("x")), ["metric"], BUCKETS[name])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def quantiles(histogram: DataFrame, by: list[str], q: float) -> DataFrame:
     """by, value: the quantile by linear interpolation within its bucket; of the last bucket its lower bound, null without values."""
     order = W.partitionBy(*by).orderBy("le")

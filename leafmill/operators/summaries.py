@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import word_count
+
 #: Tokens beyond which a group is taken section by section, and below which a unit joins the one before it.
 MOST, LEAST = 3500, 60
 
@@ -35,11 +37,14 @@ def leading_sentences(text: Column, n: int = 2) -> Column:
     return F.array_join(F.slice(F.split(F.trim(text), r"(?<=[。！？.!?])\s+"), 1, n), " ")
 
 
-def summarised(units: DataFrame, generate=leading_sentences) -> DataFrame:
+def summarised(units: DataFrame, generate=leading_sentences, progress: Observation | None = None) -> DataFrame:
     """doc_id, summary: each unit's text is summarised, and what they give, in order under their labels, once more. units: doc_id, unit, label, text.
 
-    generate: from a text column to a text column; a model is put in as a pandas UDF.
+    generate: from a text column to a text column; a model is put in as a pandas UDF. progress: gets units and words, the units that were
+    summarised and the words that they had, when the result has been computed.
     """
+    if progress is not None:
+        units = units.observe(progress, F.count("*").alias("units"), F.sum(word_count(F.col("text"))).alias("words"))
     each = units.select("doc_id", "unit", F.concat(F.lit("## "), "label", F.lit("\n"), generate(F.col("text"))).alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "part"))), lambda x: x["part"]), "\n\n")
     return each.groupBy("doc_id").agg(joined.alias("parts")).select("doc_id", generate(F.col("parts")).alias("summary"))

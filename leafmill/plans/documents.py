@@ -176,13 +176,20 @@ def monotone_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.sections_of(found).withColumn("end_ord", F.when(F.col("end_ord") < float("inf"), F.col("end_ord")))
 
 
-@CATALOG.add("J1, S11", f"""WITH {SECTION_SQL}, fronts AS (SELECT b.doc_id, bool_or(regexp_matches(b.text, '(?i)^\\s*(abstract\\b|摘\\s*要)')) AS abstract FROM blocks b JOIN (SELECT doc_id, min(start_ord) AS first FROM sections GROUP BY 1) USING (doc_id) WHERE b.ord < first GROUP BY 1)
+@CATALOG.add("J1", f"""WITH {SECTION_SQL}, fronts AS (SELECT b.doc_id, bool_or(regexp_matches(b.text, '(?i)^\\s*(abstract\\b|摘\\s*要)')) AS abstract FROM blocks b JOIN (SELECT doc_id, min(start_ord) AS first FROM sections GROUP BY 1) USING (doc_id) WHERE b.ord < first GROUP BY 1)
     SELECT b.doc_id, b.ord::DOUBLE AS ord, coalesce(s.section_id, 's000f') AS section_id, coalesce(s.title, CASE WHEN f.abstract THEN 'Abstract' ELSE 'Front matter' END) AS section_title, coalesce(s.level, 1)::INTEGER AS section_level FROM blocks b LEFT JOIN sections s ON s.doc_id = b.doc_id AND b.ord >= s.start_ord AND b.ord < s.end_ord LEFT JOIN fronts f ON f.doc_id = b.doc_id WHERE b.doc_id IN (SELECT doc_id FROM sections)""")
 def assign_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.assigned(blocks_of(spark, sf_dir), sections_found(spark, sf_dir)).select("doc_id", "ord", "section_id", "section_title", "section_level")
 
 
-@CATALOG.add("P4, T5", f"""WITH {BLOCK_SQL}, pages AS (SELECT doc_id, max(page) AS n_pages FROM blocks GROUP BY 1), counts AS (SELECT doc_id, text, count(*) AS n FROM blocks WHERE len(text) < 80 GROUP BY ALL)
+@CATALOG.add("S11, T5", f"""WITH {BLOCK_SQL} SELECT doc_id, count(*) AS blocks, md5(string_agg(text, chr(10) ORDER BY ord)) AS digest FROM blocks WHERE page <= 3 GROUP BY doc_id""")
+def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the first three pages, blocks in order."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    return blocks_of(spark, sf_dir).filter("page <= 3").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.md5(F.array_join(F.transform(listed, lambda b: b["text"]), "\n")).alias("digest"))
+
+
+@CATALOG.add("P4", f"""WITH {BLOCK_SQL}, pages AS (SELECT doc_id, max(page) AS n_pages FROM blocks GROUP BY 1), counts AS (SELECT doc_id, text, count(*) AS n FROM blocks WHERE len(text) < 80 GROUP BY ALL)
     SELECT doc_id, text FROM counts JOIN pages USING (doc_id) WHERE n_pages >= 4 AND n >= greatest(2, floor(n_pages * 0.3))""")
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = blocks_of(spark, sf_dir)
@@ -195,7 +202,7 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.windows(load(spark, sf_dir, "documents")).select("doc_id", "window", F.md5("text").alias("digest"), "n_tokens")
 
 
-@CATALOG.add("W17, F23", r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents), e AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, s FROM s),
+@CATALOG.add("W17", r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents), e AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, s FROM s),
     c AS (SELECT doc_id, i, s[i] AS sentence, sum(len(regexp_extract_all(s[i], '\S+'))) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM e) SELECT doc_id, count(*) AS sentences, max(used)::BIGINT AS tokens, md5(string_agg(sentence, ' ' ORDER BY i)) AS digest FROM c WHERE used <= 100 GROUP BY doc_id""")
 def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentences that fit into 100 tokens; documents whose first does not fit are left out."""
@@ -249,22 +256,22 @@ def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing(docs, sources, load(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), 500)
 
 
-@CATALOG.add("J20", """WITH kw AS (SELECT * FROM (VALUES (0, 'the'), (1, 'ein'), (2, 'que'), (3, 'les')) t(i, k)), hit AS (SELECT DISTINCT doc_id, i, k FROM documents JOIN kw ON contains(lower(left(text, 60)), k))
+@CATALOG.add("J20", """WITH kw AS (SELECT * FROM (VALUES (0, 'the'), (1, 'ein'), (2, 'que'), (3, 'les')) t(i, k)), hit AS (SELECT DISTINCT doc_id, i, k FROM documents JOIN kw ON contains(lower(string_split(text, chr(10))[1]), k))
     SELECT doc_id, k AS keyword, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS place FROM hit QUALIFY place <= 2""")
 def quick_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a fixed list of keywords the first two that a title holds."""
-    titles = load(spark, sf_dir, "documents").select("doc_id", F.lower(F.left("text", F.lit(60))).alias("title"))
+    """Of a fixed list of keywords the first two that a title (the first line) holds."""
+    titles = load(spark, sf_dir, "documents").select("doc_id", F.lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
     words = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("keyword")) for i, k in enumerate(("the", "ein", "que", "les"))])
     hit = titles.select("doc_id", "title", F.inline(words)).filter(F.contains("title", F.col("keyword"))).select("doc_id", "i", "keyword").distinct()
     return hit.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("i"))).filter("place <= 2").drop("i")
 
 
-@CATALOG.add("J22", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'query: ' WHEN 1 THEN '为这个句子生成表示以用于检索相关文章：' ELSE '' END || left(text, 20) AS query, CASE WHEN doc_id % 3 = 0 THEN 'passage: ' ELSE '' END || left(text, 20) AS passage FROM documents")
+@CATALOG.add("J22", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'query: ' WHEN 1 THEN '为这个句子生成表示以用于检索相关文章：' ELSE '' END || title AS query, md5(CASE WHEN doc_id % 3 = 0 THEN 'passage: ' ELSE '' END || text) AS passage FROM (SELECT doc_id, text, 'Which source is ' || source || '?' AS title FROM documents)")
 def model_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 3
     model = F.when(kind == 0, "intfloat/multilingual-e5-small").when(kind == 1, "BAAI/bge-small-zh-v1.5").otherwise("all-MiniLM-L6-v2")
-    head = F.left("text", F.lit(20))
-    return load(spark, sf_dir, "documents").select("doc_id", text.prefixed(model, head, "query").alias("query"), text.prefixed(model, head, "passage").alias("passage"))
+    question = F.concat(F.lit("Which source is "), "source", F.lit("?"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.prefixed(model, question, "query").alias("query"), F.md5(text.prefixed(model, F.col("text"), "passage")).alias("passage"))
 
 
 @CATALOG.add("F19", "SELECT item_id, greatest(0, 10000 - 1800 - 1500 - 500 - greatest(len(regexp_extract_all(text, '\\S+')) * 7, 200))::INTEGER AS budget FROM benchmark")
@@ -272,7 +279,7 @@ def budget_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", text.evidence_budget(text.word_count(F.col("text")) * 7).alias("budget"))
 
 
-@CATALOG.add("J4, S10, R2")
+@CATALOG.add("J4")
 def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline entries (headings of the blocks) located in their documents one after another."""
     heads = sections.text_headings(blocks_of(spark, sf_dir))

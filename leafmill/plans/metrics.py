@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import cost
 from leafmill.operators import reports
 from leafmill.plans.base import Catalog
+from leafmill.sources import store
+from leafmill.sources.shared import shared_folder
 from leafmill.sources.tables import load
 
 CATALOG = Catalog()
@@ -42,7 +46,7 @@ COUNTER_SQL = f"""WITH {LOG_SQL}, q AS (SELECT * FROM costed WHERE event = 'quer
     UNION ALL SELECT 'cost_usd_total', '', round(sum(cost_usd), 6) FROM q UNION ALL SELECT 'context_dropped_total', '', sum(dropped)::DOUBLE FROM q UNION ALL SELECT 'index_total', '', count(*)::DOUBLE FROM costed WHERE event = 'index'"""
 
 
-@CATALOG.add("A17, P15, S15", COUNTER_SQL)
+@CATALOG.add("A17, P15", COUNTER_SQL)
 def metrics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counters(log_of(spark, sf_dir))
 
@@ -60,6 +64,26 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.histogram(q, ["route"], reports.BUCKETS["retrieval_seconds"]).withColumn("le", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")))
 
 
+BOUNDS_SQL = " UNION ALL ".join(f"SELECT '{m}' AS metric, unnest([{', '.join(map(str, b))}, 1e18]::DOUBLE[]) AS le" for m, b in reports.BUCKETS.items())
+
+
+@CATALOG.add("A18", f"""WITH {LOG_SQL}, v AS (SELECT 'retrieval_seconds' AS metric, retrieval_ms / 1000 AS x FROM costed WHERE event = 'query' AND route <> 'summary' UNION ALL SELECT 'llm_seconds', llm_ms / 1000 FROM costed WHERE event = 'query' AND route <> 'summary' UNION ALL SELECT 'request_seconds', total_ms / 1000 FROM costed WHERE event = 'query'
+    UNION ALL SELECT 'context_tokens', context_tokens FROM costed WHERE event = 'query' AND route <> 'summary' UNION ALL SELECT 'prompt_tokens', prompt_tokens FROM costed WHERE event = 'query' AND route <> 'summary' UNION ALL SELECT 'index_seconds', total_ms / 1000 FROM costed WHERE event = 'index'), b AS ({BOUNDS_SQL})
+    SELECT metric, CASE le WHEN 1e18 THEN -1 ELSE le END AS le, count(*) FILTER (x <= le) AS n FROM v JOIN b USING (metric) GROUP BY metric, le""")
+def log_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six histograms; -1 stands for the bucket without bound."""
+    return reports.histograms(log_of(spark, sf_dir)).withColumn("le", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")))
+
+
+@CATALOG.add("S15", COUNTER_SQL)
+def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written in two appends as JSON lines and read back: its counters are those of the log."""
+    folder, log = f"{shared_folder(spark)}/{uuid4().hex}", log_of(spark, sf_dir)
+    for half in (0, 1):
+        store.append(log.filter(F.col("event_id") % 2 == half), folder)
+    return reports.counters(store.appended(spark, folder, log.schema))
+
+
 @CATALOG.add("A19, A20", f"WITH {LOG_SQL}, v AS (SELECT route, list_sort(list(total_ms)) AS x FROM costed WHERE event = 'query' GROUP BY route) SELECT route, x[least(floor(len(x) * 0.5)::BIGINT, len(x) - 1) + 1] AS p50, x[least(floor(len(x) * 0.95)::BIGINT, len(x) - 1) + 1] AS p95 FROM v")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.percentiles(log_of(spark, sf_dir).filter("event = 'query'").select("route", F.col("total_ms").alias("x")), ["route"], (0.5, 0.95))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from leafmill.operators import evaluation, packing, summaries
 from leafmill.plans.base import Catalog
 from leafmill.plans.search import DENSE_SQL, dense_hits
 from leafmill.sources import store
+from leafmill.sources.shared import shared_folder
 from leafmill.sources.tables import load
 
 CATALOG = Catalog()
@@ -75,7 +78,13 @@ def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_of(spark, sf_dir).select("query_id", "place", "chunk_id", "outcome", "n", "tokens")
 
 
-@CATALOG.add("F18, F25, E2")
+PROMPT_SQL = r"""taken AS (SELECT w.query_id, w.n, w.chunk_id, r.kind, r.text, r.cum, w.outcome, w.room + w.tokens AS room FROM walk w JOIN ready r ON r.query_id = w.query_id AND r.place = w.place WHERE w.place > 0 AND w.outcome <> 'dropped'),
+    shown_ AS (SELECT *, CASE WHEN outcome = 'kept' THEN text WHEN cum[1] <= room THEN array_to_string(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x, i: cum[i] <= room), ' ') ELSE array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:room], ' ') END AS shown FROM taken),
+    contexts AS (SELECT query_id, count(*) AS blocks, string_agg('[' || n || '] Source: document ' || chunk_id || chr(10) || '    Kind: ' || CASE kind WHEN 'text' THEN 'text' ELSE 'table' END || chr(10) || '    Content: ' || shown, chr(10) || chr(10) ORDER BY n) AS context FROM shown_ GROUP BY query_id),
+    prompts AS (SELECT query_id, context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Computed from the tables, use as they are:' || chr(10) || '- ' || blocks || ' blocks are given' AS prompt FROM contexts JOIN benchmark ON item_id = query_id)"""
+
+
+@CATALOG.add("F18, F25, E2", f"WITH RECURSIVE {CHUNK_SQL}, {HIT_SQL}, {SHOWN_SQL}, {ADDED_SQL}, {BUDGET_SQL}, {PACK_SQL}, {PROMPT_SQL} SELECT query_id, prompt FROM prompts")
 def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts of all questions: numbered evidence within the budget, the question, and facts after it."""
     blocks = packed_of(spark, sf_dir).filter("outcome != 'dropped'")
@@ -86,6 +95,12 @@ def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_facts(context.join(facts, "query_id").join(questions, "query_id"))
 
 
+@CATALOG.add("F23", f"WITH RECURSIVE {CHUNK_SQL}, {HIT_SQL}, {SHOWN_SQL}, {ADDED_SQL}, {BUDGET_SQL}, {PACK_SQL}, {PROMPT_SQL} SELECT query_id, len(regexp_extract_all(prompt, '\\S+'))::INTEGER AS prompt_tokens FROM prompts")
+def prompt_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each prompt, as they are estimated where a stream of an answer reports none."""
+    return rendered_prompts(spark, sf_dir).select("query_id", word_count(F.col("prompt")).alias("prompt_tokens"))
+
+
 SEC_SQL = r"""secs AS (SELECT doc_id, (i - 1)::INTEGER AS seq, 'Part ' || i || ' ' || left(l[i], 12) AS title, CASE WHEN (i + doc_id) % 4 = 0 THEN 1 ELSE 2 END AS level, len(regexp_extract_all(l[i], '\S+')) AS n_tokens FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
     marked AS (SELECT *, (level <= 1 OR row_number() OVER w = 1)::INTEGER AS top FROM secs WINDOW w AS (PARTITION BY doc_id ORDER BY seq)), grouped AS (SELECT *, sum(top) OVER (PARTITION BY doc_id ORDER BY seq) AS grp FROM marked),
     sized AS (SELECT *, sum(n_tokens) OVER g AS size, count(*) OVER g AS items, first_value(title) OVER (PARTITION BY doc_id, grp ORDER BY seq) AS head FROM grouped WINDOW g AS (PARTITION BY doc_id, grp)),
@@ -111,13 +126,29 @@ def summary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.with_source_text(summaries.units(s, most=350).select("doc_id", "unit", "label"), s).select("doc_id", "unit", "label", "text")
 
 
-@CATALOG.add("A28, S26, X2")
-def summarised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extractive summaries of all documents; the generator is a parameter."""
+LEAD_SQL = r"array_to_string(string_split(regexp_replace(trim({t}), '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:2], ' ')"
+UNIT_TEXT_SQL = f"{SEC_SQL}, bodies AS (SELECT doc_id, unit, arg_min(label, seq) AS label, string_agg(l[seq + 1], chr(10) ORDER BY seq) AS text FROM units JOIN (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) USING (doc_id) GROUP BY doc_id, unit)"
+
+
+def unit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sections_of(spark, sf_dir)
     u = summaries.units(s, most=350).select("doc_id", "unit", "label", F.explode("members").alias("seq"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
-    return summaries.summarised(u.join(s.select("doc_id", "seq", "text"), ["doc_id", "seq"]).groupBy("doc_id", "unit", "label").agg(text.alias("text")))
+    return u.join(s.select("doc_id", "seq", "text"), ["doc_id", "seq"]).groupBy("doc_id", "unit", "label").agg(text.alias("text"))
+
+
+@CATALOG.add("A28, S26, X2", f"WITH {UNIT_TEXT_SQL}, parts AS (SELECT doc_id, string_agg('## ' || label || chr(10) || {LEAD_SQL.format(t='text')}, chr(10) || chr(10) ORDER BY unit) AS parts FROM bodies GROUP BY doc_id) SELECT doc_id, {LEAD_SQL.format(t='parts')} AS summary FROM parts")
+def summarised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractive summaries of all documents; the generator is a parameter."""
+    return summaries.summarised(unit_texts(spark, sf_dir))
+
+
+@CATALOG.add("X5", f"WITH {UNIT_TEXT_SQL} SELECT count(*) AS units, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words FROM bodies")
+def summary_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener hears of the summaries of all documents when they are done."""
+    heard = Observation()
+    summaries.summarised(unit_texts(spark, sf_dir), progress=heard).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(heard.get["units"], heard.get["words"])], "units long, words long")
 
 
 @CATALOG.add("S20", "SELECT d.doc_id, l.lang FROM documents d, (SELECT unnest(['zh', 'en']) AS lang) l WHERE NOT EXISTS (SELECT 1 FROM labels c WHERE c.doc_id = d.doc_id AND CASE c.quality WHEN 1 THEN 'en' ELSE 'zh' END = l.lang)")
@@ -154,7 +185,15 @@ def eval_first_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks_of(spark, sf_dir)
 
 
-@CATALOG.add("A24, A32, S18, E3", f"WITH {EVAL_SQL} SELECT config, k::INTEGER AS k, count(*) FILTER (rank <= k) AS hits, round(count(*) FILTER (rank <= k) / count(*)::DOUBLE, 6) AS rate, round(avg(coalesce(rank, 11)), 6) AS mean_rank FROM ranks, unnest([10, 3]) AS u(k) GROUP BY ALL")
+@CATALOG.add("S18", f"WITH {EVAL_SQL} SELECT config, k::INTEGER AS k, count(*) FILTER (rank <= k) AS hits, round(count(*) FILTER (rank <= k) / count(*)::DOUBLE, 6) AS rate, round(avg(coalesce(rank, 11)), 6) AS mean_rank FROM ranks, unnest([10, 3]) AS u(k) GROUP BY ALL")
+def published_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of an evaluation published twice, and read back."""
+    folder, report = f"{shared_folder(spark)}/{uuid4().hex}", evaluation.hit_rates(ranks_of(spark, sf_dir), (10, 3))
+    store.publish(report.limit(0), folder)
+    return store.publish(report, folder)
+
+
+@CATALOG.add("A24, A32, E3", f"WITH {EVAL_SQL} SELECT config, k::INTEGER AS k, count(*) FILTER (rank <= k) AS hits, round(count(*) FILTER (rank <= k) / count(*)::DOUBLE, 6) AS rate, round(avg(coalesce(rank, 11)), 6) AS mean_rank FROM ranks, unnest([10, 3]) AS u(k) GROUP BY ALL")
 def eval_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.hit_rates(ranks_of(spark, sf_dir), (10, 3))
 
@@ -164,7 +203,7 @@ def table_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.fidelity(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "data").otherwise("prose").alias("kind"), (F.col("o_orderkey") % 3 > 0).alias("validated")))
 
 
-@CATALOG.add("A27, A16, R11, P14", f"WITH {CHUNK_SQL} SELECT chunk_id // 10 AS doc_id, count(DISTINCT chunk_id % 3) AS sections, count(*) AS chunks, round(avg(n_tokens), 6) AS mean_tokens, max(n_tokens)::INTEGER AS most_tokens FROM chunks GROUP BY 1")
+@CATALOG.add("A27, P14", f"WITH {CHUNK_SQL} SELECT chunk_id // 10 AS doc_id, count(DISTINCT chunk_id % 3) AS sections, count(*) AS chunks, round(avg(n_tokens), 6) AS mean_tokens, max(n_tokens)::INTEGER AS most_tokens FROM chunks GROUP BY 1")
 def corpus_generality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.generality(chunks_of(spark, sf_dir).select(F.floor(F.col("chunk_id") / 10).alias("doc_id"), (F.col("chunk_id") % 3).alias("section_id"), "n_tokens"))
 

@@ -52,7 +52,7 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add("A15", f"WITH {bm25_sql(DOCS_SQL, ITEMS_SQL, 8)} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf FROM lexical_p JOIN lexical_idf USING (index_id, term) GROUP BY term")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
-    return retrieval.term_stats(retrieval.postings(chunks), chunks).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.term_stats(retrieval.postings(chunks)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @CATALOG.add("F2, J18, T2, P11, W10, J5", f"WITH {bm25_sql(DOCS_SQL, ITEMS_SQL, 8)} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM lexical")
@@ -92,10 +92,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_hits(spark, sf_dir, 8).select("query_id", "chunk_id", "score", "rank")
 
 
-#: The lexical side of the hybrid: each vector's document is the one of the same id; the question is its first 200 characters.
-HYBRID_DOCS = "SELECT 0 AS index_id, doc_id AS chunk_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)"
-HYBRID_ITEMS = "SELECT doc_id AS query_id, 0 AS index_id, left(text, 200) AS text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)"
-FUSED_SQL = f"""{DENSE_SQL}, {bm25_sql(HYBRID_DOCS, HYBRID_ITEMS, 24)},
+#: The lexical side of the hybrid: a vector's document is the one of the same id, and its text the question; documents without a vector have no dense rank.
+HYBRID_ITEMS = "SELECT doc_id AS query_id, 0 AS index_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)"
+FUSED_SQL = f"""{DENSE_SQL}, {bm25_sql(DOCS_SQL, HYBRID_ITEMS, 24)},
     both_r AS (SELECT query_id, chunk_id, rank AS d, NULL AS l FROM dense UNION ALL SELECT query_id, chunk_id, NULL, rank FROM lexical),
     one AS (SELECT query_id, chunk_id, min(d) AS dense_rank, min(l) AS lexical_rank FROM both_r GROUP BY ALL),
     scored AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 9) AS score FROM one),
@@ -105,9 +104,8 @@ FUSED_SQL = f"""{DENSE_SQL}, {bm25_sql(HYBRID_DOCS, HYBRID_ITEMS, 24)},
 def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = load(spark, sf_dir, "embeddings").select("vec_id")
     docs = load(spark, sf_dir, "documents")
-    chunks = docs.join(ids, F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.lit(0).alias("index_id"), F.col("doc_id").alias("chunk_id"), "text")
-    asked = docs.join(ids.filter("vec_id % 20 = 0"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("query_id"), F.lit(0).alias("index_id"), F.left("text", F.lit(200)).alias("text"))
-    lexical = retrieval.lexical_top(chunks, asked, 24).select("query_id", "chunk_id", F.lit("lexical").alias("retriever"), "rank")
+    asked = docs.join(ids.filter("vec_id % 20 = 0"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("query_id"), F.lit(0).alias("index_id"), "text")
+    lexical = retrieval.lexical_top(chunks_of(spark, sf_dir), asked, 24).select("query_id", "chunk_id", F.lit("lexical").alias("retriever"), "rank")
     dense = dense_hits(spark, sf_dir, 24).select("query_id", "chunk_id", F.lit("dense").alias("retriever"), "rank")
     return retrieval.fused(dense.unionByName(lexical))
 

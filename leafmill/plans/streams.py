@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.plans.base import Catalog
 from leafmill.plans.metrics import LOG_SQL, log_from
+from leafmill.sources.shared import shared_folder
 from leafmill.sources.tables import load
 from leafmill.streaming import jobs
 
@@ -24,7 +24,7 @@ def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there, and returns what it wrote to the shared folder: of a complete output the last state, else all rows."""
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

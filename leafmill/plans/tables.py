@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import repaired_caps, squeezed
 from leafmill.operators import cells, layout, packing
 from leafmill.operators import sections as sec
 from leafmill.plans.base import Catalog
+from leafmill.sources import store
+from leafmill.sources.shared import shared_folder
 from leafmill.sources.tables import load
 
 CATALOG = Catalog()
@@ -54,14 +59,51 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASK_SQL = "asked AS (SELECT c_custkey AS ask_id, 1992 + c_custkey % 8 AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'T_A' WHEN 2 THEN 'T_R' WHEN 3 THEN 'T_N' ELSE 'X' END AS table_id, CASE WHEN c_custkey % 5 = 0 THEN 'L' || (c_custkey % 8) || ' / F' WHEN c_custkey % 7 > 0 THEN 'F / M' || (c_custkey % 9) END AS row_label, 'Q' || (c_custkey % 4 + 1) || CASE WHEN c_custkey % 5 = 0 THEN ' / base' ELSE ' / F' END AS col_name FROM customer)"
 
 
-@CATALOG.add("J16, S25, X7", f"""WITH {CELL_SQL}, {ASK_SQL}, found AS (SELECT ask_id, CASE WHEN t.doc_id IS NULL THEN 'no_table' WHEN a.table_id IN ('T_N', 'T_A') THEN 'not_data' WHEN a.row_label IS NULL THEN 'coordinates' ELSE 'value' END AS answer, c.val FROM asked a LEFT JOIN (SELECT DISTINCT doc_id, table_id FROM cells) t USING (doc_id, table_id) LEFT JOIN cells c ON c.doc_id = a.doc_id AND c.table_id = a.table_id AND c.row_label = a.row_label AND c.col_name = a.col_name)
-    SELECT ask_id, answer, CASE WHEN answer = 'value' THEN val END AS value, CASE WHEN answer = 'value' THEN val IS NOT NULL END AS found FROM found""")
+@CATALOG.add("J16, S25", f"""WITH {CELL_SQL}, {ASK_SQL}, found AS (SELECT ask_id, CASE WHEN t.doc_id IS NULL THEN 'no_table' WHEN a.table_id IN ('T_N', 'T_A') THEN 'not_data' WHEN a.row_label IS NULL THEN 'coordinates' ELSE 'value' END AS answer, c.val FROM asked a LEFT JOIN (SELECT DISTINCT doc_id, table_id FROM cells) t USING (doc_id, table_id) LEFT JOIN cells c ON c.doc_id = a.doc_id AND c.table_id = a.table_id AND c.row_label = a.row_label AND c.col_name = a.col_name)
+    , ids AS (SELECT doc_id, string_agg(DISTINCT table_id, ',' ORDER BY table_id) AS ids FROM cells GROUP BY doc_id), names AS (SELECT doc_id, table_id, string_agg(DISTINCT col_name, ',' ORDER BY col_name) AS columns_ FROM cells GROUP BY ALL), labels AS (SELECT doc_id, table_id, string_agg(row_label, ',' ORDER BY row_idx) AS rows_ FROM (SELECT DISTINCT doc_id, table_id, row_idx, row_label FROM cells) GROUP BY ALL),
+    lines_ AS (SELECT doc_id, table_id, row_idx, '| ' || row_label || ' | ' || string_agg(val, ' | ' ORDER BY col_idx) || ' |' AS line, list(col_name ORDER BY col_idx) AS c FROM cells GROUP BY doc_id, table_id, row_idx, row_label), md AS (SELECT doc_id, table_id, md5('|  | ' || array_to_string(arg_min(c, row_idx), ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', len(arg_min(c, row_idx)) + 1) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx)) AS md FROM lines_ GROUP BY ALL)
+    SELECT f.ask_id, answer, CASE WHEN answer = 'value' THEN val END AS value, CASE WHEN answer = 'value' THEN val IS NOT NULL END AS found, CASE WHEN answer = 'no_table' THEN ids END AS available, CASE WHEN answer = 'coordinates' THEN rows_ END AS rows_, CASE WHEN answer = 'coordinates' THEN columns_ END AS columns_, CASE WHEN answer = 'not_data' THEN md END AS markdown
+    FROM found f JOIN asked a USING (ask_id) LEFT JOIN ids USING (doc_id) LEFT JOIN names n ON n.doc_id = a.doc_id AND n.table_id = a.table_id LEFT JOIN labels l ON l.doc_id = a.doc_id AND l.table_id = a.table_id LEFT JOIN md m ON m.doc_id = a.doc_id AND m.table_id = a.table_id""")
 def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cells.looked_up(asked_of(spark, sf_dir), tables_of(spark, sf_dir), cells_of(spark, sf_dir))
+    joined = [F.array_join(c, ",").alias(f"{c}_" if c != "available" else c) for c in ("available", "rows", "columns")]
+    return out.select("ask_id", "answer", "value", "found", *joined, F.md5("markdown").alias("markdown"))
+
+
+def asked_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     table = F.when(k % 5 == 0, "S").when(k % 5 == 1, "T_A").when(k % 5 == 2, "T_R").when(k % 5 == 3, "T_N").otherwise("X")
     row = F.when(k % 5 == 0, F.concat(F.lit("L"), k % 8, F.lit(" / F"))).when(k % 7 > 0, F.concat(F.lit("F / M"), k % 9))
-    asked = load(spark, sf_dir, "customer").select(k.alias("ask_id"), (1992 + k % 8).alias("doc_id"), table.alias("table_id"), row.alias("row_label"), F.concat(F.lit("Q"), k % 4 + 1, F.when(k % 5 == 0, " / base").otherwise(" / F")).alias("col_name"))
-    return cells.looked_up(asked, tables_of(spark, sf_dir), cells_of(spark, sf_dir))
+    return load(spark, sf_dir, "customer").select(k.alias("ask_id"), (1992 + k % 8).alias("doc_id"), table.alias("table_id"), row.alias("row_label"), F.concat(F.lit("Q"), k % 4 + 1, F.when(k % 5 == 0, " / base").otherwise(" / F")).alias("col_name"))
+
+
+@CATALOG.add("X7", f"""WITH {CELL_SQL}, {ASK_SQL} SELECT ask_id, c.val AS value, c.val IS NOT NULL AS found FROM asked a LEFT JOIN cells c ON c.doc_id = a.doc_id AND c.table_id = a.table_id AND c.row_label = a.row_label AND c.col_name = a.col_name""")
+def cell_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-up of a cell as a table function of SQL, joined laterally with what is asked."""
+    cells_of(spark, sf_dir).createOrReplaceTempView("tool_cells")
+    asked_of(spark, sf_dir).createOrReplaceTempView("tool_asks")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION table_cell(doc BIGINT, tab STRING, line STRING, col STRING) RETURNS TABLE (value STRING, found BOOLEAN)
+        RETURN SELECT min_by(val, row_idx), count(*) > 0 FROM tool_cells WHERE doc_id = doc AND table_id = tab AND row_label = line AND col_name = col""")
+    return spark.sql("SELECT a.ask_id, t.value, t.found FROM tool_asks a, LATERAL table_cell(a.doc_id, a.table_id, a.row_label, a.col_name) t")
+
+
+@CATALOG.add("R3", f"WITH {CELL_SQL} SELECT doc_id, table_id, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_columns FROM cells GROUP BY ALL")
+def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of each document with their rows and columns."""
+    return cells_of(spark, sf_dir).groupBy("doc_id", "table_id").agg(F.count_distinct("row_idx").alias("n_rows"), F.count_distinct("col_idx").alias("n_columns"))
+
+
+@CATALOG.add("S12, S13", f"WITH {CELL_SQL} SELECT doc_id, count(*) AS n, md5(string_agg(table_id || row_label || col_name || val, ',' ORDER BY table_id, row_idx, col_idx)) AS digest FROM cells WHERE doc_id IN (1995, 1996) GROUP BY doc_id UNION ALL SELECT -1, 0, NULL")
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index saved with one document replaced, and two of its documents read back from their directories; a part that was never written is empty (-1)."""
+    folder, found = f"{shared_folder(spark)}/{uuid4().hex}", cells_of(spark, sf_dir)
+    store.save({"cells": found.withColumn("val", F.when(F.col("doc_id") == 1995, "old").otherwise(F.col("val")))}, folder)
+    store.save({"cells": found.filter("doc_id = 1995")}, folder)
+    back = store.read(spark, folder, "cells", found.schema, [1995, 1996])
+    listed = F.array_sort(F.collect_list(F.struct("table_id", "row_idx", "col_idx", F.concat("table_id", "row_label", "col_name", "val").alias("t"))))
+    digest = F.md5(F.array_join(F.transform(listed, lambda x: x["t"]), ","))
+    never = store.read(spark, folder, "sections", "doc_id long").agg(F.lit(-1).cast("long").alias("doc_id"), F.count("*").alias("n"), F.lit(None).cast("string").alias("digest"))
+    return back.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"), digest.alias("digest")).unionByName(never)
 
 
 @CATALOG.add("A7, U2", rf"""WITH {CELL_SQL}, a AS (SELECT doc_id, table_id, x, count(*) AS n FROM (SELECT doc_id, table_id, unnest(regexp_extract_all(row_label || ' ' || val, '\d+(?:[.,]\d+)?')) AS x FROM cells WHERE NOT (table_id = 'T_A' AND row_idx = 3)) GROUP BY ALL),
@@ -310,7 +352,21 @@ def font_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "title", "level").agg(F.count("*").alias("n"))
 
 
-@CATALOG.add("T8, P21, A31, F9", rf"""WITH {BOX_SQL}, t AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM boxes WHERE page = 1) SELECT doc_id, t AS title FROM t WHERE y0 <= 792 * 0.45 AND y1 - y0 <= x1 - x0 AND x1 >= 612 * 0.15 AND x0 <= 612 * 0.85 AND len(t) BETWEEN 8 AND 250 AND NOT regexp_matches(t, '(?i)^(arxiv:|doi:|preprint|under review|published as|proceedings of)') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(size, 1) DESC, y0, t) = 1""")
+#: Single capitals joined with the capitals after them, of a text {t} whose words single spaces part.
+CAPS_SQL = r"""CASE WHEN len(string_split({t}, ' ')) >= 4 AND len(list_filter(string_split({t}, ' '), lambda x: regexp_full_match(regexp_replace(regexp_replace(x, '^[-–—:]+', ''), '[-–—:]+$', ''), '\p{{L}}'))) / len(string_split({t}, ' ')) >= 0.2
+    THEN list_reduce(string_split({t}, ' '), lambda a, w: CASE WHEN regexp_matches(a, '(^| )[-–—:]*\p{{Lu}}$') AND w = upper(w) AND w <> lower(w) THEN a || w ELSE a || ' ' || w END) ELSE {t} END"""
+
+
+@CATALOG.add("A31, F9", rf"""WITH t AS (SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(replace(text, 'ß', 'ss'), '\s+', ' ', 'g'), ' '), lambda x: x <> '')[1:12], lambda x: CASE WHEN doc_id % 3 = 0 THEN upper(x[1]) || ' ' || upper(x[2:]) WHEN doc_id % 3 = 1 THEN x ELSE upper(x[1]) END), ' ') AS s FROM documents), q AS (SELECT doc_id, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM t) SELECT doc_id, {CAPS_SQL.format(t="s")} AS title FROM q""")
+def small_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of twelve words in the three ways that small capitals are read: parted after each first letter, whole, and first letters alone."""
+    words = F.slice(F.filter(F.split(squeezed(F.replace("text", F.lit("ß"), F.lit("ss"))), " "), lambda w: w != ""), 1, 12)
+    d = F.col("doc_id") % 3
+    shown = F.transform(words, lambda w: F.when(d == 0, F.concat(F.upper(F.left(w, F.lit(1))), F.lit(" "), F.upper(F.substring(w, 2, 1 << 20)))).when(d == 1, w).otherwise(F.upper(F.left(w, F.lit(1)))))
+    return load(spark, sf_dir, "documents").select("doc_id", repaired_caps(squeezed(F.array_join(shown, " "))).alias("title"))
+
+
+@CATALOG.add("T8, P21", rf"""WITH {BOX_SQL}, t AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM boxes WHERE page = 1) SELECT doc_id, {CAPS_SQL.format(t="t")} AS title FROM t WHERE y0 <= 792 * 0.45 AND y1 - y0 <= x1 - x0 AND x1 >= 612 * 0.15 AND x0 <= 612 * 0.85 AND len(t) BETWEEN 8 AND 250 AND NOT regexp_matches(t, '(?i)^(arxiv:|doi:|preprint|under review|published as|proceedings of)') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(size, 1) DESC, y0, t) = 1""")
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = boxes_of(spark, sf_dir)
     return layout.titles(boxes, pages_of(boxes))

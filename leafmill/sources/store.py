@@ -52,6 +52,22 @@ def uploads(spark: SparkSession, folder: str, most: int = 30 << 20) -> DataFrame
     return files.filter(sound).select(F.substring(F.sha2("content", 256), 1, 16).alias("doc_id"), "path", "length", "content")
 
 
+def append(events: DataFrame, folder: str) -> None:
+    """Adds events to a log of JSON lines."""
+    events.write.mode("append").json(folder)
+
+
+def appended(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The events of a log; lines that are not JSON are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
+
+
+def publish(report: DataFrame, folder: str) -> DataFrame:
+    """Writes a report in place of the last one, and gives what is read back."""
+    report.write.mode("overwrite").parquet(folder)
+    return report.sparkSession.read.schema(report.schema).parquet(folder)
+
+
 def missing_summaries(docs: DataFrame, cache: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """doc_id, lang of the summaries to be made: all languages but what the cache (doc_id, lang) has."""
     return docs.select("doc_id", F.explode(F.array(*map(F.lit, languages))).alias("lang")).join(cache, ["doc_id", "lang"], "left_anti")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import routing, text
-from leafmill.operators import cells, chunks, layout, packing, reports, retrieval, sections
+from leafmill.operators import cells, chunks, ingest, layout, packing, reports, retrieval, sections
+from leafmill.plans import catalog
 from leafmill.sources import store, urls
 from leafmill.streaming import jobs
 
@@ -119,3 +120,22 @@ def test_uploads(spark, tmp_path):
 def test_answer_events(spark):
     a = spark.createDataFrame([(1, "qa", "two words", None)], "query_id long, route string, text string, error string")
     assert [(r.kind, r.value) for r in jobs.answer_events(a).orderBy("seq").collect()] == [("route", "qa"), ("stage", "retrieving"), ("stage", "packing"), ("stage", "generating"), ("token", "two "), ("token", "words"), ("done", "")]
+
+
+def test_lexical_plan(spark):
+    """The documents are read once, for postings that are kept; from there on no product of tables, and no shuffle but those of sums and best hits."""
+    plan = catalog.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "FileScan" not in plan and plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
+
+
+def test_ingest_tables(spark):
+    """With the tables' switch their blocks leave the text and come back as whole tables and rows; a table of pairs says so."""
+    blocks = spark.createDataFrame([(1, 0, 1, 0.0, 10.0, "1. Intro"), (1, 1, 1, 20.0, 30.0, "some text"), (1, 2, 1, 200.0, 210.0, "inside the table")], "doc_id long, ord long, page int, y0 double, y1 double, text string")
+    tables = spark.createDataFrame([(1, "T1", 1, 190.0, 300.0, None, "s000", "Intro")], "doc_id long, table_id string, page int, y0 double, y1 double, caption string, section_id string, section_title string")
+    cells = spark.createDataFrame([(1, "T1", 0, "r", 0, "X / A", "60%"), (1, "T1", 0, "r", 1, "X / B", "40%")], "doc_id long, table_id string, row_idx int, row_label string, col_idx int, col_name string, val string")
+    profiles = spark.createDataFrame([(1, "Title", "front", 1, 1)], "doc_id long, title string, front string, n_pages int, n_sections int")
+    out = {r.chunk_id: r for r in ingest.ingested(blocks, profiles, tables, cells).collect()}
+    assert out["T1-full"].text == f"T1 (p. 1)\n{ingest.PAIRWISE}\n[T1 · p.1] r: X / A = 60%; X / B = 40%" and out["T1-r00"].row_label == "r"
+    assert "doc-info" in out and not any("inside" in r.text for r in out.values())
+    plain = ingest.ingested(blocks, profiles, tables, cells, use_tables=False).collect()
+    assert {r.kind for r in plain} == {"text"} and any("inside the table" in r.text for r in plain)
