@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,23 @@ _ODD = re.compile("  |^ | $|▁")
 _UNIT = re.compile(" *[^ ]+| +$")
 #: Characters that are segmented together, and the length of a unit from which logarithms are summed.
 TOGETHER, LONG = 400_000, 120
+#: Bits of a draw and of the shares that it is held against, so that these are whole numbers, equal wherever a unit stands.
+GRID = 24
+#: Lattice edges of units that a task keeps for later texts, and the length up to which a unit is kept.
+KEPT, SHORT = 1_500_000, 24
+#: Bits of the hash table of pieces' beginnings.
+SLOTS = 19
 #: Weight that a character adds to each way through it, which cancels out; keeps sums within range.
 _PER_CHAR = 4.0
 _POWERS = np.exp(_PER_CHAR * np.arange(64))
 
 
 def _uniform(seed: np.ndarray, unit: np.ndarray, step: int) -> np.ndarray:
-    """Uniform numbers that depend on the arguments alone."""
+    """Uniform numbers of GRID bits that depend on the arguments alone."""
     z = seed + (unit.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((step + 1) * 0xD1B54A32D192ED03 % 2**64)
     z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return ((z ^ z >> np.uint64(31)) >> np.uint64(64 - GRID)).astype(np.int64)
 
 
 def units(text: str) -> list[str]:
@@ -41,6 +48,24 @@ def units(text: str) -> list[str]:
     return [u[1:] for u in _UNIT.findall(" " + text)] if _ODD.search(text) else text.split(" ")
 
 
+@dataclass
+class Lattice:
+    """Edges of many units' lattices, sorted by the node they end at."""
+
+    start: np.ndarray  # node that an edge starts at
+    piece: np.ndarray  # its id; the number of pieces stands for the bytes of a character
+    raw: np.ndarray  # code points
+    first_char: np.ndarray  # of an edge, as place in raw
+    key: np.ndarray  # for sampling: node it ends at, and share of the ways so far, in GRID bits
+    firsts: np.ndarray  # first node of each unit
+    lasts: np.ndarray  # and last one
+
+    def joined(self, other: Lattice) -> Lattice:
+        nodes, chars = int(self.lasts[-1]) + 1, len(self.raw)
+        cat = np.concatenate
+        return Lattice(cat([self.start, other.start + np.int32(nodes)]), cat([self.piece, other.piece]), cat([self.raw, other.raw]), cat([self.first_char, other.first_char + np.int32(chars)]), cat([self.key, other.key + (nodes << GRID)]), cat([self.firsts, other.firsts + nodes]), cat([self.lasts, other.lasts + nodes]))
+
+
 class Pieces:
     """A piece's weight is (1 + its rank) ** -alpha; a way through the lattice weighs the product of its pieces.
 
@@ -74,14 +99,54 @@ class Pieces:
                 at = nodes.setdefault((at, int(self.code[ord(c)])), len(nodes) + 1)
             last[at] = i
         keys = np.array([a * self.codes + c for a, c in nodes], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.slots, self.next = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        following = np.fromiter(nodes.values(), np.int64, len(nodes))
+        while len(left):
+            free = left[self.slots[at[left]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.slots[at[taken]], self.next[at[taken]] = keys[taken], following[taken]
+            left = left[self.slots[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & (1 << SLOTS) - 1
         self.piece = np.full(len(nodes) + 1, -1, np.int64)
         self.piece[list(last)] = list(last.values())
+        self.known: dict[str, int] = {}
+        self.kept: Lattice | None = None
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _child(self, keys: np.ndarray) -> np.ndarray:
+        """The node that each key (node and code) leads to, or -1: a hash table of open addresses."""
+        at = self._slot(keys)
+        there = self.slots[at]
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & (1 << SLOTS) - 1
+            there[left] = self.slots[at[left]]
+            left = left[(there[left] != keys[left]) & (there[left] >= 0)]
+        return np.where(there == keys, self.next[at], -1)
+
+    def _lattices(self, types: list[str]) -> tuple[np.ndarray, Lattice]:
+        """Number of each type in a lattice that holds them all: the kept ones and, behind them, new ones, of which short ones are kept while there is room."""
+        at = np.fromiter((self.known.get(t, -1) for t in types), np.int64, len(types))
+        for room in (True, False):
+            new = [k for k in np.flatnonzero(at < 0).tolist() if not room or len(types[k]) <= SHORT]
+            if not new or room and self.kept is not None and len(self.kept.start) >= KEPT:
+                continue
+            more = self._lattice([types[k] for k in new])
+            both = more if self.kept is None else self.kept.joined(more)
+            at[new] = len(both.firsts) - len(new) + np.arange(len(new))
+            if not room:
+                return at, both
+            self.kept = both
+            self.known.update((types[k], int(at[k])) for k in new)
+        return at, self.kept
 
-    def _lattice(self, types: list[str]) -> tuple[np.ndarray, ...]:
-        """Edges of all types' lattices, sorted by the node they end at: start node, id (size: bytes), code points and each edge's first, for
-        sampling node + share of the ways so far; and the first and last node of each type."""
+    def _lattice(self, types: list[str]) -> Lattice:
+        """The types' lattices."""
         sizes = np.fromiter(map(len, types), np.int64, len(types)) + 1
         raw = np.frombuffer((" " + " ".join(types)).encode("utf-32-le"), np.uint32).astype(np.int64)
         code = np.where(raw == MARK, LITERAL, np.where(raw == 32, MARK, raw))
@@ -94,9 +159,9 @@ class Pieces:
         single = np.zeros(len(code), bool)
         while len(at):
             key = node * self.codes + code[at + depth]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[i] == key
-            at, node = at[hit], self.next[i[hit]]
+            node = self._child(key)
+            hit = node >= 0
+            at, node = at[hit], node[hit]
             piece = self.piece[node]
             done = piece >= 0
             starts.append(at[done])
@@ -140,13 +205,15 @@ class Pieces:
         part = ways[start] * w / np.where(ways[last] > 0, ways[last], 1)
         if long.any():
             part[long] = self._logs(np.flatnonzero(long), start, last, w, level, firsts, len(ways))
-        share = np.cumsum(part)
-        opens = np.concatenate([[True], last[1:] != last[:-1]])
-        base = np.concatenate([[0.0], share])[np.flatnonzero(opens)]
-        key = last + np.minimum(share - np.repeat(base, np.diff(np.append(np.flatnonzero(opens), total))), 1.0)
-        closes = np.concatenate([opens[1:], [True]])
-        key[closes] = last[closes] + 1
-        return start, piece, raw, first_char, key, firsts, firsts + sizes
+        opens = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        degree = np.diff(np.append(opens, total))
+        for k in range(1, int(degree.max())):  # sums within each node, which do not depend on what stands before it
+            e = opens[degree > k] + k
+            part[e] += part[e - 1]
+        key = (last.astype(np.int64) << GRID) + np.minimum(np.rint(part * 2.0**GRID), 2**GRID).astype(np.int64)
+        closes = opens + degree - 1
+        key[closes] = (last[closes].astype(np.int64) + 1) << GRID
+        return Lattice(start, piece, raw.astype(np.int32), first_char, key, firsts, firsts + sizes)
 
     @staticmethod
     def _logs(e: np.ndarray, start: np.ndarray, last: np.ndarray, w: np.ndarray, level: np.ndarray, firsts: np.ndarray, nodes: int) -> np.ndarray:
@@ -169,13 +236,15 @@ class Pieces:
             return np.zeros(0, np.int32), counts
         coded = pa.array([u for p in parts for u in p], pa.large_string()).dictionary_encode()
         kind = coded.indices.to_numpy().astype(np.int64)
-        start, ids, raw, first_char, key, firsts, lasts = self._lattice(coded.dictionary.to_pylist())
+        at, lattice = self._lattices(coded.dictionary.to_pylist())
+        kind = at[kind]
+        start, ids, raw, first_char, key, firsts, lasts = lattice.start, lattice.piece, lattice.raw, lattice.first_char, lattice.key, lattice.firsts, lattice.lasts
         doc = np.repeat(np.arange(len(parts)), counts)
         unit = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = seeds[doc]
         live, at, first, step, walks = np.arange(len(doc)), lasts[kind], firsts[kind], 0, []
         while len(live):
-            e = np.searchsorted(key, at + _uniform(seed[live], unit[live], step), "right")
+            e = np.searchsorted(key, (at.astype(np.int64) << GRID) + _uniform(seed[live], unit[live], step), "right")
             walks.append((live.astype(np.int32), e.astype(np.int32)))
             at = start[e]
             on = at > first

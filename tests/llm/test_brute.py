@@ -117,6 +117,20 @@ def test_pieces_distribution():
     assert (again == ids[at : at + len(again)]).all()
 
 
+def test_pieces_alone(texts, monkeypatch):
+    """A text's ids do not depend on what is segmented with it, before it, or kept of it."""
+    some = [t for _, t in sorted(texts.items())][:60]
+    seeds = np.random.default_rng(2).integers(0, 2**63, len(some)).astype(np.uint64)
+    p = pieces.Pieces(pieces.read_model())
+    ids, counts = p.sample(some, seeds)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    monkeypatch.setattr(pieces, "KEPT", 1000)
+    q = pieces.Pieces(pieces.read_model())
+    for k in reversed(range(len(some))):
+        assert (q.sample(some[k : k + 1], seeds[k : k + 1])[0] == parts[k]).all()
+        assert (p.sample(some[k : k + 1], seeds[k : k + 1])[0] == parts[k]).all()
+
+
 def test_neighbours(spark):
     v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()}
     ids = np.array(sorted(v))
