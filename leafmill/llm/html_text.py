@@ -243,7 +243,7 @@ class Page:
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns of pages but the html, and main_text. A null or empty page has an empty text; every page is read whole."""
+    """All columns of pages but the html, and main_text, in place of one of this name. A null or empty page has an empty text; every page is read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):

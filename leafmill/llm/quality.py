@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and quality_score, 0 to 1. A null text counts as empty, which is one empty line. Any length of text is scored whole."""
+    """All columns of docs and quality_score, 0 to 1, in place of one of this name. A null text counts as empty, which is one empty line. Any length of text is scored whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):

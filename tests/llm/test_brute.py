@@ -15,7 +15,7 @@ import regex
 import xxhash
 
 import __spark_entry__ as entry
-from leafmill.llm import html_text, near_texts, pieces, quality, repeats, simhash_docs, weighted_prints
+from leafmill.llm import html_text, line_dedup, near_texts, pieces, quality, repeats, simhash_docs, weighted_prints
 from leafmill.llm.sharding import longest_first
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,7 +56,10 @@ def distance(a, b):
     return p[-1]
 
 
-def test_lines(spark, texts):
+@pytest.mark.parametrize("together", [4096, 3])
+def test_lines(spark, texts, monkeypatch, together):
+    """together: lines of one key that are compared at once; larger keys are cut."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
     seen, prints, codes, order = {}, {}, {}, []
     for d, t in sorted(texts.items()):
         for i, line in enumerate(t.split("\n")):

@@ -37,15 +37,16 @@ def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (2, 0, 0), (5, None, 0), (None, 1, 1), (6, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
 
 
-def test_line_dedup(docs, none):
-    out = line_dedup.dedup_lines(docs).select("doc_id", "text", "line_count", "removed_lines", "sim").collect()
+@pytest.mark.parametrize("near_prints", [True, False])
+def test_line_dedup(docs, none, near_prints):
+    out = line_dedup.dedup_lines(docs, near_prints).select("doc_id", "text", "line_count", "removed_lines", "sim").collect()
     assert len(out) == len(ROWS)
     by = {(r.doc_id, r.sim): r for r in out}
     assert by[(1, 1)].removed_lines == [] and by[(None, 2)].removed_lines == [0] and by[(None, 2)].text == ""
     assert by[(6, 6)].removed_lines == [3] and by[(6, 6)].text == "ééé\n\n12 | 13"
     assert by[(2, None)].text is None and by[(2, None)].line_count == 0
     assert by[(5, 5)].text == LONG
-    assert line_dedup.dedup_lines(none).count() == 0
+    assert line_dedup.dedup_lines(none, near_prints).count() == 0
 
 
 def test_line_marks_around(spark):
@@ -84,7 +85,7 @@ def test_alike_lines(spark, monkeypatch, together):
             if root[i] != root[j] and a_ and b_ and distance(a_, b_) <= max(len(a_), len(b_)) * 0.2 + 1e-9:
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    assert {r.doc_id for r in line_dedup.dedup_lines(docs).filter("removed_lines = array(0)").collect()} == {i for i, r in enumerate(root) if r != i}
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs, near_prints=False).filter("removed_lines = array(0)").collect()} == {i for i, r in enumerate(root) if r != i}
 
 
 def test_line_lanes_agree(spark):
@@ -147,7 +148,7 @@ def test_sharding(docs, none):
 
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a<p>b", "x"), (2, None, None, "y"), (None, "u", "", "z"), (3, "u", "<article><h1>T</h1><p>x &amp; y</article><footer>f</footer>", "w"), (3, "u", "<article><h1>T</h1><p>x &amp; y</article><footer>f</footer>", "w")], "page_id long, url string, html string, _html string")
-    out = html_text.extracted(pages).collect()
+    out = html_text.extracted(pages.withColumn("main_text", F.lit("other"))).collect()
     assert sorted(r.main_text for r in out) == ["", "", "T\n\nx & y", "T\n\nx & y", "a\n\nb"]
     assert html_text.extracted(pages.limit(0)).count() == 0
 
@@ -174,6 +175,15 @@ def test_simhash(docs, none):
     assert simhash_docs.keep_first(none).count() == 0
 
 
+def test_near_texts(docs, none):
+    """Nulls count as empty, texts without words are one group, repeated rows are copies, and other columns stay as they are."""
+    kept = near_texts.keep_first(docs)
+    rows = kept.collect()
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in rows) == [1, 2, 5, 6]
+    assert {r.doc_id: r.sim for r in rows} == {1: 1, 2: None, 5: 5, 6: 6}
+    assert near_texts.keep_first(none).count() == 0
+
+
 def test_near_texts_repeats(spark):
     """Copies of which one holds a run of one word longer than the text, or that have few shingles, against all pairs by sets of shingles."""
     rng = np.random.default_rng(9)
