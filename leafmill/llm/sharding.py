@@ -18,6 +18,7 @@ CELL = 50_000
 #: Rows are counted in so many parts of each shard for their slots.
 PARTS = 256
 
+
 def longest_first(sizes: list[int], loads: list[float]) -> list[int]:
     """Shard of each size, given in descending order: the least loaded one so far, the lower number on ties."""
     heap = [(load, k) for k, load in enumerate(loads)]
@@ -29,8 +30,9 @@ def longest_first(sizes: list[int], loads: list[float]) -> list[int]:
         heapq.heapreplace(heap, (load + size, k))
     return out
 
-def place_groups(groups: DataFrame, shards: int) -> DataFrame:
-    """g1, g2, shard of each group. groups: g1, g2 (key), size (bigint over 0).
+
+def place_groups(groups: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """g1, g2, shard of the large groups, and of all others. groups: g1, g2 (key), size (bigint over 0).
 
     The large groups, SHARE x shards at most whatever the data, are placed by one heap. All others are dealt by hash into
     cells of about CELL groups; in each a heap places them longest first, from the loads that the large groups
@@ -58,7 +60,8 @@ def place_groups(groups: DataFrame, shards: int) -> DataFrame:
 
     rest = small.groupBy("cell").applyInPandas(run, "g1 long, g2 long, shard int")
     known = groups.sparkSession.createDataFrame(large.assign(shard=placed)[["g1", "g2", "shard"]], "g1 long, g2 long, shard int")
-    return rest.unionByName(known)
+    return known, rest
+
 
 def shard_rows(docs: DataFrame, shards: int) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; rows of equal text share a shard, and the shards' sizes are near equal.
@@ -73,12 +76,17 @@ def shard_rows(docs: DataFrame, shards: int) -> DataFrame:
     rows = save_point(rows)
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("size"))
     part = F.pmod(F.xxhash64("doc_id", "g1"), F.lit(PARTS)).cast("int")
-    dealt = save_point(rows.join(place_groups(groups, shards), ["g1", "g2"]).withColumn("part", part))
+    # the large groups, of bounded number, go to their rows, so that a frequent text is nobody's task
+    large, others = place_groups(groups, shards)
+    key = ["g1", "g2"]
+    placed = rows.join(F.broadcast(large), key).unionByName(rows.join(F.broadcast(large.select(*key)), key, "left_anti").join(others, key))
+    dealt = save_point(placed.withColumn("part", part))
     before = dealt.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("shard", "part", F.coalesce("before", F.lit(0)).alias("before"))
     slot = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "g1", "g2")) - 1
     # shards x PARTS rows
     return dealt.withColumn("n", slot).join(F.broadcast(before), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("n")).alias("slot"))
 
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on shards 0 to 23 by bytes."""
     out = shard_rows(table(spark, sf_dir, "documents"), 24)
