@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,12 +73,12 @@ def rendered(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("context"))
 
 
-def cited_blocks(blocks: DataFrame) -> DataFrame:
-    """Of each answer's blocks (with n, answer) those that it cites as [n], cited true; all of them, cited false, if it cites none.
-    Numbers without a block give no sources."""
+def cited_blocks(blocks: DataFrame, cite: Column) -> DataFrame:
+    """Of each answer's blocks (with n, answer) those that it cites as [n], cited true; all of them, cited false, if it cites none; with label, as
+    cite writes a block. Numbers without a block give no sources."""
     used = F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("bigint"))
     marked = blocks.withColumn("used", used).withColumn("cited", F.size("used") > 0)
-    return marked.filter(~F.col("cited") | F.array_contains("used", F.col("n").cast("long"))).drop("used")
+    return marked.filter(~F.col("cited") | F.array_contains("used", F.col("n").cast("long"))).withColumn("label", cite).drop("used")
 
 
 def named_rows(chunks: DataFrame, names: str) -> DataFrame:

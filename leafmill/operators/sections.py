@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import squeezed
 
 LONGEST, FEWEST = 90, 3
+#: Fixed value: how an abstract begins.
 ABSTRACT = r"(?iu)^\s*(abstract\b|摘\s*要)"
 #: Headings without a number, as academic papers have them.
 BARE = (

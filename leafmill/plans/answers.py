@@ -17,7 +17,7 @@ HITS, MORE = 8, 6
 # A question of no other route that names a table is looked up in it: here those of every third conversation.
 ASK_SQL = rf"""{documents.QUESTION_SQL}, {documents.FORMS_SQL}, {questions.CHUNK_SQL}, tabs AS (SELECT table_id, min(chunk_id) AS chunk_id FROM chunks WHERE kind = 'table_full' AND table_id IS NOT NULL GROUP BY 1),
     asks AS (SELECT *, CASE WHEN base = 'qa' AND named IS NOT NULL THEN 'table_lookup' ELSE base END AS route FROM (SELECT conv_id * 1000 + turn AS query_id, question, p, {documents.ROUTE_SQL} AS base, CASE WHEN conv_id % 3 = 0 THEN 'T' || (conv_id % 20) END AS named FROM entities)),
-    subs AS (SELECT query_id, i - 1 AS sub, q[i] AS text FROM (SELECT query_id, CASE WHEN route = 'comparison' AND p IS NOT NULL THEN [question, p.a || ' architecture method how it works', p.b || ' architecture method how it works', p.a || ' ' || p.b || ' performance results comparison', p.a || ' ' || p.b || ' cost efficiency token overhead'] ELSE [question] END AS q FROM asks WHERE route <> 'summary'), unnest(range(1, 6)) AS r(i) WHERE i <= len(q)),
+    subs AS (SELECT query_id, i - 1 AS sub, q[i] AS text FROM (SELECT query_id, CASE WHEN route = 'comparison' AND p IS NOT NULL THEN {documents.ASPECT_SQL} ELSE [question] END AS q FROM asks WHERE route <> 'summary'), unnest(range(1, 6)) AS r(i) WHERE i <= len(q)),
     {search.bm25_sql(search.DOCS_SQL, "SELECT query_id * 10 + sub AS query_id, 0 AS index_id, text FROM subs", HITS + MORE)},
     found AS (SELECT a.query_id, l.query_id % 10 AS sub, chunk_id, rank, route, p FROM lexical l JOIN asks a ON a.query_id = l.query_id // 10 WHERE rank <= CASE route WHEN 'comparison' THEN {HITS + MORE} ELSE {HITS} END),
     firsts AS (SELECT query_id, chunk_id, min(rank * 10 + sub) AS place FROM found GROUP BY ALL), picks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS pick FROM firsts QUALIFY pick <= {HITS + MORE}),

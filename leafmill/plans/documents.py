@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from leafmill.functions import routing, text
 from leafmill.operators import chunks, sections
 from leafmill.plans.base import Catalog
 from leafmill.sources import urls
+from leafmill.sources.shared import shared_folder
 from leafmill.sources.tables import load
 
 CATALOG = Catalog()
@@ -74,8 +77,9 @@ def language_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Questions of all routes from the conversations' words.
 QUESTION_SQL = r"""questions AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'Compare ' || w[1] || ' with ' || w[2] || '?' WHEN 1 THEN w[1] || ' vs. ' || w[2] || ' ' || w[3] WHEN 2 THEN 'Please summarise ' || w[1] WHEN 3 THEN '比較 ' || w[1] || ' 和 ' || w[2] || '？' WHEN 4 THEN w[1] || ' 與 ' || w[2] || ' 有什麼差別' ELSE 'What about ' || w[1] || '?' END AS question
     FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations) WHERE len(w) >= 3)"""
-ROUTE_SQL = r"CASE WHEN regexp_matches(question, '(?i)\b(summar\w*|overview|tl;?dr)\b|摘要|總結|概述|重點整理') THEN 'summary' WHEN regexp_matches(question, '(?i)\b(compare|comparison|versus|vs\.?|differ\w*|difference)\b|比較|差別|差異|對比|哪個好') THEN 'comparison' ELSE 'qa' END"
-PAIR_SQL = "list_transform([g.a, g.b], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
+ROUTE_SQL = f"CASE WHEN regexp_matches(question, '(?i){routing.SUMMARY}') THEN 'summary' WHEN regexp_matches(question, '(?i){routing.COMPARE}') THEN 'comparison' ELSE 'qa' END"
+#: The question and, of a comparison of p, its aspects.
+ASPECT_SQL = "[question, " + ", ".join("'" + t.replace("{a}", "' || p.a || '").replace("{b}", "' || p.b || '") + "'" for t in routing.ASPECTS) + "]"
 
 
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +98,7 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions_of(spark, sf_dir).select("conv_id", "turn", "question", routing.route(F.col("question")).alias("route"))
 
 
-FORMS_SQL = r"""forms AS (SELECT *, regexp_extract(question, '(?i)compar\w*\s+(.+?)\s+(?:with|to|and|against|vs\.?)\s+(.+?)[\s?.,]*$', ['a', 'b']) AS f1, regexp_extract(question, '(?i)^(.+?)\s+(?:vs\.?|versus)\s+(.+?)[\s?.,]*$', ['a', 'b']) AS f2,
-    regexp_extract(question, '比較\s*(.+?)\s*(?:和|與|跟|及)\s*(.+?)[\s?。，、]*$', ['a', 'b']) AS f3, regexp_extract(question, '^(.+?)\s*(?:和|與|跟)\s*(.+?)\s*(?:有什麼|的)?(?:差別|差異|不同)', ['a', 'b']) AS f4 FROM questions),
+FORMS_SQL = "forms AS (SELECT *, " + ", ".join(f"regexp_extract(question, '(?i){form}', ['a', 'b']) AS f{k}" for k, form in enumerate(routing.PAIRS, 1)) + r""" FROM questions),
     entities AS (SELECT conv_id, turn, question, CASE WHEN len(f1.a) BETWEEN 2 AND 59 AND len(f1.b) BETWEEN 2 AND 59 THEN f1 WHEN len(f2.a) BETWEEN 2 AND 59 AND len(f2.b) BETWEEN 2 AND 59 THEN f2 WHEN len(f3.a) BETWEEN 2 AND 59 AND len(f3.b) BETWEEN 2 AND 59 THEN f3 WHEN len(f4.a) BETWEEN 2 AND 59 AND len(f4.b) BETWEEN 2 AND 59 THEN f4 END AS p FROM forms)"""
 
 
@@ -105,14 +108,14 @@ def comparison_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions_of(spark, sf_dir).withColumn("p", pair).select("conv_id", "turn", F.try_element_at("p", F.lit(1)).alias("first"), F.try_element_at("p", F.lit(2)).alias("second"))
 
 
-@CATALOG.add("U7", f"""WITH {QUESTION_SQL}, {FORMS_SQL}, asked AS (SELECT conv_id, turn, CASE WHEN p IS NULL THEN [question] ELSE [question, p.a || ' architecture method how it works', p.b || ' architecture method how it works', p.a || ' ' || p.b || ' performance results comparison', p.a || ' ' || p.b || ' cost efficiency token overhead'] END AS q FROM entities)
+@CATALOG.add("U7", f"""WITH {QUESTION_SQL}, {FORMS_SQL}, asked AS (SELECT conv_id, turn, CASE WHEN p IS NULL THEN [question] ELSE {ASPECT_SQL} END AS q FROM entities)
     SELECT conv_id, turn, (i - 1)::INTEGER AS sub, q[i] AS question FROM asked, unnest(range(1, 6)) AS r(i) WHERE i <= len(q)""")
 def comparison_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
     return questions_of(spark, sf_dir).select("conv_id", "turn", F.posexplode(routing.subqueries(q, routing.compared(q))).alias("sub", "question"))
 
 
-DECLINE_SQL = r"(regexp_matches(answer, '(?i)未提及|沒有提及|未提到|沒有提到|未說明|沒有說明|未包含|沒有包含|未提供|沒有提供|無法回答|沒有相關(資訊|內容)|文件中(找不到|沒有)|does not (mention|contain|provide|include)|not mentioned|no information|cannot answer|is not (mentioned|provided|discussed)') AND len(answer) < 400)"
+DECLINE_SQL = f"(regexp_matches(answer, '(?i){text.DECLINING}') AND len(answer) < 400)"
 ANSWER_SQL = "answers AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN text || ' This Does Not Mention it.' WHEN 1 THEN '文件中沒有這項 ' || text WHEN 2 THEN text || ' [2] and [' || (turn + 3) || ']' ELSE text END AS answer FROM conversations)"
 
 
@@ -128,22 +131,24 @@ def declined_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers_of(spark, sf_dir).select("conv_id", "turn", text.declined(a).alias("declined"), F.left(text.squeezed(a), F.lit(600)).alias("shown"))
 
 
-@CATALOG.add("J13, W12, P10, P15", rf"""WITH {ANSWER_SQL}, cites AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::BIGINT) AS used FROM answers)
+@CATALOG.add("J13, W12, P10, P15, X4", rf"""WITH {ANSWER_SQL}, cites AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::BIGINT) AS used FROM answers)
     SELECT conv_id, turn, n, len(used) > 0 AS cited, 'p.' || (n * 2) || ' · section ' || n AS label FROM cites, unnest(range(1, 6)) AS b(n) WHERE len(used) = 0 OR list_contains(used, n)""")
 def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each answer has five numbered blocks; those it cites are its sources, or all of them, uncited, if it cites none."""
     from leafmill.operators.packing import cited_blocks
 
     blocks = answers_of(spark, sf_dir).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))))
-    return cited_blocks(blocks).select("conv_id", "turn", "n", "cited", F.concat(F.lit("p."), F.col("n") * 2, F.lit(" · section "), F.col("n")).alias("label"))
+    cite = F.concat(F.lit("p."), F.col("n") * 2, F.lit(" · section "), F.col("n"))
+    return cited_blocks(blocks, cite).select("conv_id", "turn", "n", "cited", "label")
 
 
-# Lines of documents as blocks: every third line with a heading's words, a page each ten lines.
-BLOCK_SQL = r"""lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-    blocks AS (SELECT doc_id, i - 1 AS ord, (i - 1) // 10 + 1 AS page, CASE WHEN i % 4 = 2 AND doc_id % 3 <> 0 THEN ((i - 1) // 4 + 1) || '.' || CASE WHEN i % 8 = 2 THEN '' ELSE (i % 3 + 1) || '. ' END || left(l[i], 40) WHEN i % 10 = 1 AND doc_id % 2 = 0 THEN 'Page header ' || (doc_id % 5) WHEN i = 2 AND doc_id % 6 = 0 THEN 'Abstract of this' ELSE l[i] END AS text FROM lines WHERE trim(l[i]) <> '')"""
-LEVEL_SQL = r"""CASE WHEN len(trim(text)) > 90 OR trim(text) = '' THEN NULL WHEN regexp_replace(lower(trim(text)), '[ .:：]+$', '') IN ('abstract', 'introduction', 'background', 'results', 'conclusion', 'references') THEN 1
-    WHEN regexp_matches(trim(text), '(?s)^(\d+(?:\.\d+)*)\.?\s*\n?\s*(\S.{2,80})$') THEN len(regexp_extract(trim(text), '(?s)^(\d+(?:\.\d+)*)\.?\s*\n?\s*(\S.{2,80})$', 1)) - len(replace(regexp_extract(trim(text), '(?s)^(\d+(?:\.\d+)*)\.?\s*\n?\s*(\S.{2,80})$', 1), '.', '')) + 1
-    WHEN regexp_matches(trim(text), '(?si)^(?:chapter|section|part)\s+(?:\d+|[IVXLC]+)\b(.{0,80})$') OR regexp_matches(trim(text), '(?s)^([IVXLC]+)\.\s+(\S.{2,80})$') THEN 1 END"""
+# Lines of documents as blocks: every fourth line with a heading's words, some with a bare heading, a page each ten lines.
+BARE_SQL = "[" + ", ".join(f"'{x}'" for x in sections.BARE) + "]"
+BLOCK_SQL = rf"""lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    blocks AS (SELECT doc_id, i - 1 AS ord, (i - 1) // 10 + 1 AS page, CASE WHEN i = 3 AND doc_id % 7 = 0 THEN upper({BARE_SQL}[doc_id % {len(sections.BARE)} + 1]) || ':' WHEN i % 4 = 2 AND doc_id % 3 <> 0 THEN ((i - 1) // 4 + 1) || '.' || CASE WHEN i % 8 = 2 THEN '' ELSE (i % 3 + 1) || '. ' END || left(l[i], 40) WHEN i % 10 = 1 AND doc_id % 2 = 0 THEN 'Page header ' || (doc_id % 5) WHEN i = 2 AND doc_id % 6 = 0 THEN 'Abstract of this' ELSE l[i] END AS text FROM lines WHERE trim(l[i]) <> '')"""
+LEVEL_SQL = rf"""CASE WHEN len(trim(text)) > 90 OR trim(text) = '' THEN NULL WHEN list_contains({BARE_SQL}, regexp_replace(lower(trim(text)), '[ .:：]+$', '')) THEN 1
+    WHEN regexp_matches(trim(text), '{sections.DOTTED}') THEN len(regexp_extract(trim(text), '{sections.DOTTED}', 1)) - len(replace(regexp_extract(trim(text), '{sections.DOTTED}', 1), '.', '')) + 1
+    WHEN {" OR ".join(f"regexp_matches(trim(text), '{form}')" for form in sections.NUMBERED)} THEN 1 END"""
 SECTION_SQL = rf"""{BLOCK_SQL}, headings AS (SELECT doc_id, ord, trim(regexp_replace(text, '\s+', ' ', 'g')) AS title, ({LEVEL_SQL})::INTEGER AS level FROM blocks WHERE {LEVEL_SQL} IS NOT NULL),
     sections AS (SELECT doc_id, 's' || lpad((row_number() OVER w - 1)::VARCHAR, 3, '0') AS section_id, title, level, ord::DOUBLE AS start_ord, coalesce(lead(ord) OVER w, 1e18)::DOUBLE AS end_ord FROM headings WINDOW w AS (PARTITION BY doc_id ORDER BY ord))"""
 
@@ -153,7 +158,8 @@ def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, d = F.col("ord") + 1, F.col("doc_id")
     inner = F.when(i % 8 == 2, "").otherwise(F.concat(i % 3 + 1, F.lit(". ")))
     shown = (
-        F.when((i % 4 == 2) & (d % 3 != 0), F.concat(F.floor((i - 1) / 4) + 1, F.lit("."), inner, F.left("line", F.lit(40)))).when((i % 10 == 1) & (d % 2 == 0), F.concat(F.lit("Page header "), d % 5))
+        F.when((i == 3) & (d % 7 == 0), F.concat(F.upper(F.element_at(F.array(*map(F.lit, sections.BARE)), (d % len(sections.BARE) + 1).cast("int"))), F.lit(":")))
+        .when((i % 4 == 2) & (d % 3 != 0), F.concat(F.floor((i - 1) / 4) + 1, F.lit("."), inner, F.left("line", F.lit(40)))).when((i % 10 == 1) & (d % 2 == 0), F.concat(F.lit("Page header "), d % 5))
         .when((i == 2) & (d % 6 == 0), "Abstract of this").otherwise(F.col("line"))
     )
     return lines.select("doc_id", F.col("ord").cast("long").alias("ord"), (F.floor((i - 1) / 10) + 1).alias("page"), shown.alias("text"))
@@ -244,15 +250,16 @@ def document_info_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.about_document(profiles)
 
 
-@CATALOG.add("J15, T6, R3, S27, S19, R4", """WITH sources AS (SELECT doc_id, 'file' || doc_id || '.pdf' AS filename, CASE WHEN doc_id % 5 <> 0 THEN lpad((doc_id * 7919 % 100000)::VARCHAR, 5, '0') END AS uploaded FROM documents WHERE doc_id % 7 <> 0), summaries AS (SELECT doc_id FROM labels WHERE quality = 1)
+@CATALOG.add("J15, T6, S27, S19", """WITH sources AS (SELECT doc_id, 'file' || doc_id || '.pdf' AS filename, CASE WHEN doc_id % 5 <> 0 THEN lpad((doc_id * 7919 % 100000)::VARCHAR, 5, '0') END AS uploaded FROM documents WHERE doc_id % 7 <> 0), summaries AS (SELECT doc_id FROM labels WHERE quality = 1)
     SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN d.source END, s.filename, d.doc_id::VARCHAR) AS title, s.uploaded, EXISTS (SELECT 1 FROM summaries m WHERE m.doc_id = d.doc_id) AS has_summary, row_number() OVER (ORDER BY coalesce(s.uploaded, '') DESC, d.doc_id)::INTEGER AS place FROM documents d LEFT JOIN sources s USING (doc_id) QUALIFY place <= 500""")
 def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list as a page shows it: the 500 uploaded last."""
-    from leafmill.sources.store import listing
+    """The list as a page shows it, from the sources that were written beside the documents: the 500 uploaded last."""
+    from leafmill.sources.store import listing, publish
 
     docs = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("title"))
     d = F.col("doc_id")
     sources = docs.filter(d % 7 != 0).select("doc_id", F.concat(F.lit("file"), d, F.lit(".pdf")).alias("filename"), F.when(d % 5 != 0, F.lpad((d * 7919 % 100000).cast("string"), 5, "0")).alias("uploaded"))
+    sources = publish(sources, f"{shared_folder(spark)}/{uuid4().hex}")
     return listing(docs, sources, load(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), 500)
 
 
@@ -279,7 +286,19 @@ def budget_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", text.evidence_budget(text.word_count(F.col("text")) * 7).alias("budget"))
 
 
-@CATALOG.add("J4")
+@CATALOG.add("R2", f"""WITH {SECTION_SQL}, ways AS (SELECT doc_id, 0 AS way, ord FROM headings WHERE ord % 4 = 0 UNION ALL SELECT doc_id, 1, ord FROM headings UNION ALL SELECT doc_id, 2, ord FROM blocks WHERE ord % 5 = 0), n AS (SELECT doc_id, way, count(*) AS sections FROM ways GROUP BY ALL HAVING count(*) >= 3)
+    SELECT doc_id, way::INTEGER AS way, sections FROM n QUALIFY way = min(way) OVER (PARTITION BY doc_id)""")
+def section_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an outline, headings and even parts the first way that finds three sections or more in a document."""
+    blocks = blocks_of(spark, sf_dir)
+    heads = sections.text_headings(blocks)
+    found = sections.cascade(heads.filter("ord % 4 = 0").select("doc_id", "ord"), heads.select("doc_id", "ord"), blocks.filter("ord % 5 = 0").select("doc_id", "ord"))
+    return found.groupBy("doc_id", "way").agg(F.count("*").alias("sections"))
+
+
+@CATALOG.add("J4", f"""WITH RECURSIVE {SECTION_SQL}, e AS (SELECT doc_id, title, level, ord, (ord // 10)::DOUBLE * 10000 AS top, CASE WHEN ord % 3 = 0 THEN []::DOUBLE[] ELSE [ord::DOUBLE, ord::DOUBLE + 5] END AS places, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM headings),
+    walk AS (SELECT doc_id, i, ord AS seq, title, level, coalesce(list_filter(places, lambda x: x > -1)[1], greatest(0::DOUBLE, top)) AS place FROM e WHERE i = 1 UNION ALL SELECT e.doc_id, e.i, e.ord, e.title, e.level, coalesce(list_filter(e.places, lambda x: x > w.place)[1], greatest(w.place + 1, e.top)) FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i + 1)
+    SELECT doc_id, seq::INTEGER AS seq, title, level, place AS ord FROM walk""")
 def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline entries (headings of the blocks) located in their documents one after another."""
     heads = sections.text_headings(blocks_of(spark, sf_dir))

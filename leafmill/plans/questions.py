@@ -180,7 +180,7 @@ def ranks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.first_ranks(runs.select("config", "query_id", "rank", "title"), words)
 
 
-@CATALOG.add("A25, J14, R9", f"WITH {EVAL_SQL} SELECT config, query_id, rank::INTEGER AS rank, covered, expected FROM ranks")
+@CATALOG.add("A25, J14", f"WITH {EVAL_SQL} SELECT config, query_id, rank::INTEGER AS rank, covered, expected FROM ranks")
 def eval_first_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks_of(spark, sf_dir)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the form of an arXiv id.
 ARXIV_ID = r"\d{4}\.\d{4,5}(v\d+)?"
 #: IPv4 ranges that are not public, as dotted network and prefix length.
 CLOSED_RANGES = (
