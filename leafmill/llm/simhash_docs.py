@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import apart, row_key, save_point, slices, table, utf8, whole_groups
+from leafmill.llm.common import apart, row_key, save_point, sent, slices, table, utf8, whole_groups
 from leafmill.llm.components import components
 
 #: 64 bits in five blocks. Up to 3 differing bits leave two blocks untouched, so each pair of blocks is a shard key.
@@ -175,14 +175,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFra
     """
     prints = save_point(fingerprints(docs, words))
     links = near_links(prints.select("fp").distinct(), radius)
-    roots = components(links).withColumnsRenamed({"node": "fp", "root": "linked"})
-    return prints.join(roots, "fp", "left").select("doc_id", "k1", "k2", "fp", F.coalesce("linked", "fp").alias("root"))
+    roots = save_point(components(links).withColumnsRenamed({"node": "fp", "root": "linked"}))
+    return prints.join(sent(roots, roots.count() * 32), "fp", "left").select("doc_id", "k1", "k2", "fp", F.coalesce("linked", "fp").alias("root"))
 
 
 def with_component(found: DataFrame) -> DataFrame:
     """Adds component_id, the least doc_id of the component; null if all its doc_ids are."""
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root")
+    # a document alone is its own component, so only the others' roots are joined
+    least = save_point(found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").select("root", "component_id", F.lit(True).alias("shared")))
+    out = found.join(sent(least, least.count() * 40), "root", "left")
+    return out.withColumn("component_id", F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("shared")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:

@@ -13,9 +13,11 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from leafmill.llm import html_text, line_dedup, near_texts, pieces, quality, repeats, simhash_docs, weighted_prints
+import corpus_pipeline
+from leafmill.llm import html_text, line_dedup, mixing, near_texts, pieces, quality, repeats, simhash_docs, weighted_prints
 from leafmill.llm.sharding import longest_first
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,10 +58,8 @@ def distance(a, b):
     return p[-1]
 
 
-@pytest.mark.parametrize("together", [4096, 3])
-def test_lines(spark, texts, monkeypatch, together):
-    """together: lines of one key that are compared at once; larger keys are cut."""
-    monkeypatch.setattr(line_dedup, "TOGETHER", together)
+def lines_gone(texts):
+    """Numbers of the lines that go, for each document: of each connected group all but the first, by all pairs of lines."""
     seen, prints, codes, order = {}, {}, {}, []
     for d, t in sorted(texts.items()):
         for i, line in enumerate(t.split("\n")):
@@ -69,8 +69,7 @@ def test_lines(spark, texts, monkeypatch, together):
                 order.append((d, i, n))
                 if n not in seen:
                     seen[n] = (d, i)
-                    h = [xxhash.xxh64_intdigest(w, 42) for w in words]
-                    prints[n], codes[n] = votes(h), words
+                    prints[n], codes[n] = votes([xxhash.xxh64_intdigest(w, 42) for w in words]), words
     names, sets = list(seen), Sets()
     for i, a in enumerate(names):
         for b in names[:i]:
@@ -80,9 +79,67 @@ def test_lines(spark, texts, monkeypatch, together):
     for d, i, n in order:
         if kept.setdefault(sets.find(n), (d, i)) != (d, i):
             gone[d].append(i)
+    return gone
+
+
+def without(text, gone):
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in set(gone))
+
+
+def first_of_near(texts):
+    """The least document of each group of those whose sets of five-word shingles are alike at 0.8, by all pairs."""
+    sets, shingles = Sets(), {}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        shingles[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for a in sorted(texts):
+        sets.find(a)
+        for b in texts:
+            if b < a and (shingles[a] == shingles[b] or len(shingles[a] & shingles[b]) >= 0.8 * max(1, len(shingles[a] | shingles[b]))):
+                sets.join(a, b)
+    return {sets.find(d) for d in texts}
+
+
+@pytest.mark.parametrize("together", [4096, 3])
+def test_lines(spark, texts, monkeypatch, together):
+    """together: lines of one key that are compared at once; larger keys are cut."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    gone = lines_gone(texts)
     for r in rows(spark, "op1_line_dedup"):
-        left = "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in set(gone[r.doc_id]))
-        assert r.removed_lines == gone[r.doc_id] and r.kept_sha256 == hashlib.sha256(left.encode()).hexdigest()
+        assert r.removed_lines == gone[r.doc_id] and r.kept_sha256 == hashlib.sha256(without(texts[r.doc_id], gone[r.doc_id]).encode()).hexdigest()
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage of the pipeline against a plain version, on what the stage before it wrote."""
+    at = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, at, FOLDER).write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        found[name] = at.collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    docs = {r.doc_id: r.text for r in found["quality"]}
+    known = [d for d in labels if labels[d] == 1]
+    assert sum(d in docs for d in known) >= 0.95 * len(known) and sum(labels.get(d) == 0 for d in docs) <= 0.1 * sum(q == 0 for q in labels.values())
+    gone = lines_gone(docs)
+    docs = {d: without(t, gone[d]) for d, t in docs.items()}
+    assert {r.doc_id: r.text for r in found["line_dedup"]} == docs and all(r.n_chars == len(r.text) for r in found["line_dedup"])
+    left = {d: docs[d] for d in first_of_near(docs)}
+    assert {r.doc_id: r.text for r in found["simhash_near_dedup"]} == left
+    copies = Counter(r.doc_id for r in found["mixing"])
+    assert set(copies) <= set(left) and set(copies.values()) <= {1, 2} and all(r.text == left[r.doc_id] for r in found["mixing"])
+    source = {r.doc_id: r.source for r in found["simhash_near_dedup"]}
+    target = {r.doc_id: r.target for r in mixing.mix(spark.read.parquet(f"{tmp_path}/simhash_near_dedup")).collect()}
+    words = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in left.items()}
+    for s in set(source.values()):
+        own = [d for d in left if source[d] == s]
+        total, sums = sum(words[d] for d in own), {0}
+        whole = min(int(target[own[0]] // total), 2) if total else 0
+        for d in own:
+            sums |= {x + words[d] for x in sums}
+        rest = round(target[own[0]]) - whole * total
+        assert sum(copies[d] * words[d] for d in own) == whole * total + max(x for x in sums if x <= max(rest, 0))
+    assert Counter((r.doc_id, r.decoded_sha256) for r in found["sentencepiece"]) == Counter({(d, hashlib.sha256(left[d].encode()).hexdigest()): n for d, n in copies.items()})
 
 
 def test_pieces_round_trip(spark, texts):
@@ -120,6 +177,43 @@ def test_pieces_distribution():
     assert (again == ids[at : at + len(again)]).all()
 
 
+def sampled(p, known, text, seed):
+    """One text's ids, a unit after the other: all ways forward, then back from the end by the same draws."""
+    out = []
+    for u, unit in enumerate(pieces.units(text)):
+        chars = ["▁"] + ["\U0010ffff" if c == "▁" else "▁" if c == " " else c for c in unit]
+        n, ways, edges = len(chars), [1.0] + [0.0] * len(chars), {}
+        for end in range(1, n + 1):
+            found = [(end - k, known["".join(chars[end - k : end])]) for k in range(1, min(end, 40) + 1) if "".join(chars[end - k : end]) in known]
+            if not any(s == end - 1 for s, _ in found):
+                found.append((end - 1, p.size))
+            w = [p.share[i] * pieces._POWERS[end - s] for s, i in found]
+            for (s, _), x in zip(found, w, strict=True):
+                ways[end] += ways[s] * x
+            part = list(itertools.accumulate(ways[s] * x / ways[end] for (s, _), x in zip(found, w, strict=True)))
+            edges[end] = found, [round(x * 2**24) for x in part[:-1]] + [2**24]
+        ids, at, step = [], n, 0
+        while at:
+            r = int(pieces._uniform(np.array([seed]), np.array([u]), step)[0])
+            found, bounds = edges[at]
+            k = next(k for k, b in enumerate(bounds) if b > r)
+            ids.append([found[k][1]] if found[k][1] < p.size else [p.first_byte + b for b in ("▁" if chars[at - 1] == "\U0010ffff" else chars[at - 1]).encode()])
+            at, step = found[k][0], step + 1
+        out += [i for x in reversed(ids) for i in x]
+    return out
+
+
+def test_pieces_brute(spark, texts):
+    """Ids of the whole query against a second, plain implementation."""
+    p = pieces.Pieces(pieces.read_model())
+    known = {p.bytes[i].decode().replace(" ", "▁"): i for i in range(p.size) if p.bytes[i] and not p.first_byte <= i < p.first_byte + 256}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    seeds = {r.doc_id: r.key for r in docs.select("doc_id", F.xxhash64(F.lit(0), F.col("doc_id").cast("long"), F.col("doc_id").isNull()).alias("key")).collect()}
+    for r in rows(spark, "op2_sentencepiece"):
+        if max(map(len, pieces.units(texts[r.doc_id])), default=0) < pieces.LONG:
+            assert r.ids == sampled(p, known, texts[r.doc_id], np.int64(seeds[r.doc_id]).view(np.uint64))
+
+
 def test_pieces_alone(texts, monkeypatch):
     """A text's ids do not depend on what is segmented with it, before it, or kept of it."""
     some = [t for _, t in sorted(texts.items())][:60]
