@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,24 @@ def save_point(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for tables that are needed only until what is made of them has been saved; it goes with all that is in it."""
+    folder = f"{shared_folder(spark)}/{uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """Cuts the lineage by a table in a folder, of which later steps read the columns that they need."""
+    path = f"{folder}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sent(rows: DataFrame, size: int) -> DataFrame:
     """Marks a table for broadcast if its size in bytes is within SENT."""
     return F.broadcast(rows) if size <= SENT else rows
