@@ -12,26 +12,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.sources.shared import save_point, sent, shared_folder  # noqa: F401 (for the operators)
+from leafmill.sources.shared import save_point, scratch, sent, shared_folder, stored  # noqa: F401 (for the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder, of which later steps read the columns that they need."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Tables:
-    """Tables of one schema that follow each other in the shared folder; each overwrites the one before the last."""
+    """Tables of one schema that follow each other in a folder, or else in the shared one; each overwrites the one before the last."""
 
-    def __init__(self, spark: SparkSession, schema: str) -> None:
+    def __init__(self, spark: SparkSession, schema: str, folder: str | None = None) -> None:
         self.spark, self.schema, self.count = spark, schema, 0
-        self.base = f"{shared_folder(spark)}/{uuid4().hex}"
+        self.base = f"{folder or shared_folder(spark)}/{uuid4().hex}"
 
     def put(self, df: DataFrame) -> DataFrame:
         self.count += 1

@@ -27,13 +27,14 @@ def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
     return out.filter("a > b").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(node, root) for each node of an edge; root is the least node of its component.
 
     edges: two bigint columns, in any direction; self loops and repeats are allowed, nulls are left out. The
-    rounds are logarithmic in the longest path. Only a count and a checksum of the edges reach the driver; of the rounds' tables two are kept.
+    rounds are logarithmic in the longest path. Only a count and a checksum of the edges reach the driver; of the rounds' tables two are
+    kept, in the folder (the result reads one) or else in the shared one.
     """
-    rounds = Tables(edges.sparkSession, "a long, b long")
+    rounds = Tables(edges.sparkSession, "a long, b long", folder)
     e = edges.toDF("x", "y").na.drop().select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a > b").distinct()
     e = rounds.put(e)
     seen = None

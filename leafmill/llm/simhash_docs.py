@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import apart, row_key, save_point, sent, slices, table, utf8, whole_groups
+from leafmill.llm.common import apart, row_key, save_point, scratch, sent, slices, table, utf8, whole_groups
 from leafmill.llm.components import components
 
 #: 64 bits in five blocks. Up to 3 differing bits leave two blocks untouched, so each pair of blocks is a shard key.
@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFra
     """
     prints = save_point(fingerprints(docs, words))
     links = near_links(prints.select("fp").distinct(), radius)
-    roots = save_point(components(links).withColumnsRenamed({"node": "fp", "root": "linked"}))
+    with scratch(docs.sparkSession) as folder:
+        roots = save_point(components(links, folder).withColumnsRenamed({"node": "fp", "root": "linked"}))
     return prints.join(sent(roots, roots.count() * 32), "fp", "left").select("doc_id", "k1", "k2", "fp", F.coalesce("linked", "fp").alias("root"))
 
 

@@ -89,12 +89,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     ends = Counter(found)
     # a doc_id that several ranges end at has one of its own, as the one before it ends, too
     splits = sorted({*ends, *(max(x - 1, -(2**63)) for x, n in ends.items() if n > 1)})
+    known_splits = f"cast(split('{','.join(map(str, splits))}', ',') as array<bigint>)" if splits else "cast(array() as array<bigint>)"
     # how many of the splits are below doc_id, by halving
     steps = max(1, len(splits)).bit_length()
     below = f"aggregate(sequence({steps}, 0, -1), 0, (p, i) -> if(get(splits, p + shiftleft(1, i) - 1) < doc_id, p + shiftleft(1, i), p))"
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("splits", F.array(*[F.lit(int(x)) for x in splits]).cast("array<bigint>")).withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.expr(below))).drop("splits")
+        return rows.withColumn("splits", F.expr(known_splits)).withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.expr(below))).drop("splits")
 
     sizes = dealt(keys).groupBy("part").agg(F.sum("bytes").alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     cuts = {r.part: max(1, -(-r.bytes // size)) for r in sizes.collect() if r.low == r.high or r.low is None}
