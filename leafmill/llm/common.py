@@ -93,3 +93,11 @@ def whole_groups(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tup
     if carry:
         done = pd.concat(carry, ignore_index=True)
         yield done, np.array([0, len(done)])
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow column's texts one after another, and where each begins, with the end; null as empty."""
+    texts = pc.fill_null(column.cast(pa.large_binary()), b"")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]

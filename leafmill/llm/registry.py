@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from leafmill.llm.divergence import OP13_SQL, op13_source_divergence
+from leafmill.llm.first_fit import op12_packing
 from leafmill.llm.html_text import op7_html_extraction
 from leafmill.llm.line_dedup import op1_line_dedup
 from leafmill.llm.mixing import op5_mixing
 from leafmill.llm.neighbours import op3_nearest_neighbours
+from leafmill.llm.periodic import op11_periodic_runs
 from leafmill.llm.pieces import op2_sentencepiece
 from leafmill.llm.quality import op9_quality
 from leafmill.llm.repeats import op4_suffix_array_dedup
@@ -24,6 +27,9 @@ QUERIES = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_source_divergence": OP13_SQL}
