@@ -45,11 +45,16 @@ def listing(docs: DataFrame, sources: DataFrame, summaries: DataFrame, show: int
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.coalesce("uploaded", F.lit(""))), "doc_id")))
 
 
+def checked_uploads(spark: SparkSession, folder: str, most: int = 30 << 20) -> DataFrame:
+    """doc_id by content, path, length, content of all files of a folder, and refused: name, size or content, or null where a file is taken."""
+    files = spark.read.format("binaryFile").load(folder)
+    why = F.when(~F.lower("path").endswith(".pdf"), "name").when(F.col("length") > most, "size").when(F.coalesce(F.substring("content", 1, 4), F.lit(b"")) != F.lit(b"%PDF"), "content")
+    return files.select(F.substring(F.sha2("content", 256), 1, 16).alias("doc_id"), "path", "length", "content", why.alias("refused"))
+
+
 def uploads(spark: SparkSession, folder: str, most: int = 30 << 20) -> DataFrame:
     """PDF files of a folder: doc_id by content, path, length, content; other names, larger files and other content are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    sound = (F.col("length") <= most) & (F.substring("content", 1, 4) == F.lit(b"%PDF"))
-    return files.filter(sound).select(F.substring(F.sha2("content", 256), 1, 16).alias("doc_id"), "path", "length", "content")
+    return checked_uploads(spark, folder, most).filter("refused is null").drop("refused")
 
 
 def append(events: DataFrame, folder: str) -> None:
