@@ -125,7 +125,7 @@ def test_answer_events(spark):
 def test_lexical_plan(spark):
     """The documents are read once, for postings that are kept; from there on no product of tables, and no shuffle but those of sums and best hits."""
     plan = catalog.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan and "FileScan" not in plan and plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "documents.parquet" not in plan and plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
 
 
 def test_ingest_tables(spark):
