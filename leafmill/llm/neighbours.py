@@ -178,7 +178,7 @@ def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -
 def _indexed(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """One row with the graph of a shard: its layers, the vectors, and of equal vectors the k + 1 least ids, which suffice for any query."""
     x = np.stack(frame["v"].values)
-    frame = frame.assign(b=[r.tobytes() for r in x]).sort_values("vec_id", kind="stable")
+    frame = frame.assign(b=[r.tobytes() for r in x]).drop_duplicates(["vec_id", "b"]).sort_values("vec_id", kind="stable")
     frame["copy"] = frame.groupby("b", sort=False).cumcount()
     nodes = frame[frame["copy"] == 0]
     place = dict(zip(nodes["b"], range(len(nodes)), strict=True))
@@ -212,7 +212,9 @@ class Shard:
             pick = pick.reshape(-1)
             real = (pick >= 0) & (pick != own[i])
             pick, d = pick[real], d[real]
-            order = np.lexsort((pick, d))[:k]
+            order = np.lexsort((pick, d))
+            # an id with several vectors counts by its nearest
+            order = order[np.sort(np.unique(pick[order], return_index=True)[1])[:k]]
             out.append((np.full(len(order), own[i]), pick[order], d[order]))
         ids, picks, scores = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"query_id": ids, "vec_id": picks, "score": scores})
@@ -224,7 +226,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, kept: int = KEPT,
     vectors: vec_id, embedding; queries: which rows are queries, all rows but its own id being candidates. Null ids and vectors that
     are null, zero, or hold null or non-finite components take no part; vectors of different lengths have no distance, so each length is
     searched by itself. Equal vectors of one shard are one node. Shards are dealt by hash; each is indexed once, and its graph moves once
-    to where the queries, in blocks, pass by it. Fewer than k candidates: all of them.
+    to where the queries, in blocks, pass by it. Fewer than k candidates: all of them. Repeated rows count once. An id with several different vectors asks with
+    each of them, and is near by the nearest of them.
     """
     rows = usable(vectors)
     sizes = save_point(rows.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
@@ -248,6 +251,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, kept: int = KEPT,
 
     at = ["dim", "shard"]
     found = both.repartition(*at).sortWithinPartitions(*at, "asks").mapInPandas(run, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

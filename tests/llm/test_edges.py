@@ -120,6 +120,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(v.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_repeats(spark):
+    """Rows that are there several times, as queries and as candidates, and ids with several vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)]
+    rows += rows[:40] * 3 + [(i, rng.normal(size=4).tolist()) for i in range(0, 200, 7)]
+    out = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=10).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 200, 10):
+        own = [np.array(v) for i, v in rows if i == q]
+        near = {}
+        for i, v in rows:
+            if i != q:
+                near[i] = min([near.get(i, np.inf), *(float(np.sqrt(((x - np.array(v)) ** 2).sum())) for x in own)])
+        want = sorted((d, i) for i, d in near.items())[:10]
+        got = sorted(out[q])
+        assert [x[0] for x in got] == list(range(1, 11)) and [x[1] for x in got] == [i for _, i in want]
+        assert np.allclose([x[2] for x in got], [d for d, _ in want])
+
+
 def test_repeats(docs, none):
     for keep in ("first", "none"):
         out = repeats.remove_repeats(docs, 40, keep).collect()
