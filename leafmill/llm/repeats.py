@@ -167,7 +167,8 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-    joined = texts.join(lists, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "x")
+    # one of the rows that are there several times gives them all
+    joined = texts.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "k2", "text", "x")
     return joined.mapInArrow(run, "doc_id long, k1 long, k2 long, shard long, copies long, start int, hot boolean, bytes binary")
 
 

@@ -147,6 +147,23 @@ def test_repeats(docs, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_rows(spark):
+    """A row that is there 200 times gives its stretches once, and each of its rows loses what two of them would."""
+    rng = np.random.default_rng(1)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    shared = " ".join(words[:60])
+    rows = [(1, " ".join(words))] * 200 + [(2, "x " + shared + " y " + " ".join(f"v{x}" for x in rng.integers(0, 5000, 200))), (3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = repeats.row_key("doc_id", "text")
+    texts = docs.select("doc_id", a.alias("k1"), b.alias("k2"), "text")
+    cut = repeats._cut(texts, texts.distinct().select("k1", "k2", F.lit(5).cast("long").alias("shard"), F.lit(1).cast("long").alias("copies"), F.lit(False).alias("hot"), F.lit(0).alias("start"), F.lit(1).alias("n")), 400)
+    assert cut.count() == 3
+    for keep in ("none", "first"):
+        out = {r.doc_id: bytes(r.kept).decode() for r in repeats.remove_repeats(docs, 100, keep).collect()}
+        assert out[1] == ("" if keep == "none" else out[1]) and out[3] == "z" and shared[:200] not in out[2]
+    assert repeats.remove_repeats(docs, 100, "none").count() == 202
+
+
 def test_mixing(docs, none):
     out = mixing.mix(docs).collect()
     assert len(out) == len(ROWS) and all(r.copies in (0, 1, 2) for r in out)
