@@ -1,5 +1,7 @@
 """Nulls, empty and repeated rows, empty tables and clashing columns, for every operator and pipeline stage."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,16 @@ def test_line_dedup(docs, none, near_prints):
     assert line_dedup.dedup_lines(none, near_prints).count() == 0
 
 
+def test_many_lines(spark):
+    """A document of very many lines that go is done in a time that grows with them, not with their square."""
+    docs = spark.createDataFrame([(1, "\n".join(f"a line of words number {'abcdefghij'[i % 10] * (1 + i % 7)} here" for i in range(100_000))), (2, "x\n" * 50_000)], "doc_id long, text string")
+    began = time.time()
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert out[1].line_count == 100_000 and len(out[1].removed_lines) + out[1].text.count("\n") + 1 == 100_000
+    assert out[2].text == "x\n" and len(out[2].removed_lines) == 49_999
+
+
 def test_line_marks_around(spark):
     """Lines that are equal but for marks at their ends are one line, however short."""
     texts = ["Read more", "Read more.", "- Read more", "...", "Read  MORE!\n..."]
