@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.operators.names import own_names
+from leafmill.sources.shared import save_point
 
 #: Bounds of the histograms' buckets, in seconds and tokens.
 BUCKETS = {
@@ -70,13 +72,48 @@ def quantiles(histogram: DataFrame, by: list[str], q: float) -> DataFrame:
     return hit.select(*by, F.round(value, 6).alias("value"))
 
 
-def percentiles(values: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
-    """by and p50, p95, ..: by rank; of each distinct value only its count is gathered."""
-    n = values.groupBy(*by, "x").agg(F.count("*").alias("c"))
-    order = W.partitionBy(*by).orderBy("x")
-    n = n.withColumn("upto", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(W.partitionBy(*by)))
-    place = lambda p: F.least(F.floor(F.col("total") * p), F.col("total") - 1)
-    return n.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > place(p), F.col("x"))).alias(f"p{round(p * 100)}") for p in shares])
+@own_names
+def percentiles(values: DataFrame, by: list[str], shares: tuple[float, ...], most: int = 10_000) -> DataFrame:
+    """by and p50, p95, ..: the value at place min(floor(n * share), n - 1) in order, from 0. values: by, x; nulls are left out.
+
+    Exact selection by narrowing ranges: each round estimates bounds of the wanted places among the values of their ranges, counts what lies below and between
+    them, and goes on with the range that holds the place, until that has `most` values or only one. Only then are values put in order, at most `most` of a group and
+    share. Nothing but counts, estimates and the last ranges moves, however many values a group has.
+    """
+    values = values.filter("x is not null").select(*by, F.col("x").cast("double").alias("x"))
+    share = F.explode(F.array(*map(F.lit, shares))).alias("share")
+    n, key = F.count("*"), [*by, "share"]
+    place = F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1)
+    ranges = save_point(values.groupBy(*by).agg(n.alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).select(*by, "n", "low", "high", share).select(*key, place.alias("k"), "n", "low", "high"))
+    while not (open_ := ranges.filter((F.col("n") > most) & (F.col("low") < F.col("high")))).isEmpty():
+        held = values.join(open_, by) if by else values.crossJoin(F.broadcast(open_))
+        held = held.filter("x between low and high")
+        # estimates are within a thousandth of the range's values, so the place lies between those four thousandths around it
+        around = [F.greatest(F.lit(0.0), F.col("k") / F.col("n") - 0.004), F.least(F.lit(1.0), (F.col("k") + 1) / F.col("n") + 0.004)]
+        grid = F.percentile_approx("x", [i / 250 for i in range(251)], 1000)
+        bounds = held.groupBy(*key).agg(grid.alias("g"), *[F.first(c).alias(c) for c in ("k", "n", "low", "high")])
+        a, b = F.element_at("g", F.floor(around[0] * 250).cast("int") + 1), F.element_at("g", F.ceil(around[1] * 250).cast("int") + 1)
+        bounds = save_point(bounds.select(*key, "k", "n", "low", "high", a.alias("a"), b.alias("b")))
+        inner = values.join(bounds, by) if by else values.crossJoin(F.broadcast(bounds))
+        counts = inner.filter("x between low and high").groupBy(*key).agg(F.count_if("x < a").alias("below"), F.count_if("x between a and b").alias("inside"), *[F.first(c).alias(c) for c in ("k", "n", "low", "high", "a", "b")])
+        good = (F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("inside")) & (F.col("inside") < F.col("n"))
+        # an estimate that did not hold, or did not narrow, halves the range instead
+        middle = F.col("low") + (F.col("high") - F.col("low")) / 2
+        half = inner.filter("x between low and high").groupBy(*key).agg(F.count_if(F.col("x") <= middle).alias("lower"), F.max(F.when(F.col("x") <= middle, F.col("x"))).alias("top"), F.min(F.when(F.col("x") > middle, F.col("x"))).alias("bottom"))
+        both = counts.join(half, key)
+        first = F.col("k") < F.col("lower")
+        narrowed = both.select(
+            *key, F.when(good, F.col("k") - F.col("below")).when(first, F.col("k")).otherwise(F.col("k") - F.col("lower")).alias("k"), F.when(good, F.col("inside")).when(first, F.col("lower")).otherwise(F.col("n") - F.col("lower")).alias("n"),
+            F.when(good, F.col("a")).when(first, F.col("low")).otherwise(F.col("bottom")).alias("low"), F.when(good, F.col("b")).when(first, F.col("top")).otherwise(F.col("high")).alias("high"),
+        )
+        ranges = save_point(ranges.filter((F.col("n") <= most) | (F.col("low") == F.col("high"))).unionByName(narrowed))
+    single = F.col("low") == F.col("high")
+    few = ranges.filter(~single)
+    held = values.join(few, by) if by else values.crossJoin(F.broadcast(few))
+    chosen = held.filter("x between low and high").groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("all"), F.first("k").alias("k")).select(*key, F.get("all", F.col("k").cast("int")).alias("x"))
+    found = chosen.unionByName(ranges.filter(single).select(*key, F.col("low").alias("x")))
+    named = [F.max(F.when(F.col("share") == p, F.col("x"))).alias(f"p{round(p * 100)}") for p in shares]
+    return found.groupBy(*by).agg(*named)
 
 
 def report(events: DataFrame, ceiling: int) -> DataFrame:

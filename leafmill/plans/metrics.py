@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import cost
-from leafmill.operators import reports
+from leafmill.operators import rates, reports
 from leafmill.plans.base import Catalog
 from leafmill.sources import store
 from leafmill.sources.shared import shared_folder
@@ -135,3 +135,66 @@ def tolerant_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = log_of(spark, sf_dir).select(F.concat(F.lit("clients "), F.col("event_id") % 4).alias("run"), (F.col("total_ms") * (1 + F.col("event_id") % 4 * F.lit(0.2))).alias("ms"), F.col("stream_error").isNotNull().alias("failed"))
     return reports.verdicts(runs, "clients 0")
+
+
+# A process that was started anew twice, and is looked at every ten minutes; ranges of three hours that end every hour.
+SCRAPE, RANGE, STEP = 600, 10_800, 3600
+LIVES = ("2024-01-01 00:00:00", "2024-01-11 05:07:30", "2024-01-21 17:41:10", "2024-01-31 00:00:00")
+RESETS_SQL = f"lives(start, ending) AS (VALUES {', '.join(f"(TIMESTAMP '{a}', TIMESTAMP '{b}')" for a, b in zip(LIVES, LIVES[1:], strict=False))})"
+
+
+def scraped_sql(series: str) -> str:
+    """series: a query of ser (one column), ts, n. Gives s: ser, t (seconds), v."""
+    return f"""{RESETS_SQL}, e AS ({series}), p AS (SELECT ser, epoch(start) AS start, epoch(ending) AS ending, ceil(epoch_us(ts) / {SCRAPE * 10**6}) * {SCRAPE} AS t, n FROM e JOIN lives ON ts >= start AND ts < ending),
+    a AS (SELECT ser, start, ending, t, sum(n) AS n FROM p WHERE t < ending GROUP BY ALL), h AS (SELECT ser, start, ending, min(t)::BIGINT AS low, (floor((ending - 0.000001) / {SCRAPE}) * {SCRAPE})::BIGINT AS high FROM a GROUP BY ser, start, ending), slots AS (SELECT ser, start, ending, unnest(range(low, high + 1, {SCRAPE})) AS t FROM h),
+    s AS (SELECT ser, t, sum(coalesce(n, 0)) OVER (PARTITION BY ser, start ORDER BY t ROWS UNBOUNDED PRECEDING)::DOUBLE AS v FROM slots LEFT JOIN a USING (ser, start, ending, t))"""
+
+
+INCREASE_SQL = f"""l AS (SELECT *, lag(v) OVER (PARTITION BY ser ORDER BY t) AS b FROM s), g AS (SELECT ser, t, v, v + sum(CASE WHEN v < b THEN b ELSE 0 END) OVER (PARTITION BY ser ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM l),
+    w AS (SELECT ser, (ceil(t / {STEP}.0) + k) * {STEP} AS upto, t, v, c FROM g, (SELECT unnest(range({RANGE // STEP})) AS k)), q AS (SELECT ser, upto, count(*) AS n, min(t) AS first, max(t) AS last, arg_min(v, t) AS value, arg_max(c, t) - arg_min(c, t) AS grew FROM w GROUP BY ser, upto HAVING count(*) > 1),
+    m AS (SELECT *, last - first AS span, (last - first) / (n - 1)::DOUBLE AS mean FROM q), d AS (SELECT *, CASE WHEN first - upto + {RANGE} >= mean * 1.1::DOUBLE THEN mean / 2 ELSE first - upto + {RANGE} END AS lft, CASE WHEN upto - last >= mean * 1.1::DOUBLE THEN mean / 2 ELSE upto - last END AS rgt FROM m),
+    inc AS (SELECT ser, upto, grew * (span + CASE WHEN grew > 0 THEN least(lft, span * value / grew) ELSE lft END + rgt) / span AS increase FROM d)"""
+ROUTES_SQL = "SELECT route AS ser, ts, 1 AS n FROM costed WHERE event = 'query'"
+BUCKETS_SQL = "SELECT le AS ser, ts, (total_ms / 1000 <= le)::INTEGER AS n FROM costed, b WHERE event = 'query'"
+
+
+def lives_of(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(zip(LIVES, LIVES[1:], strict=False)), "start string, ending string").select(F.to_timestamp("start").alias("start"), F.to_timestamp("ending").alias("ending"))
+
+
+def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_of(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).filter("event = 'query'")
+
+
+@CATALOG.add("A30, S30", f"""WITH {LOG_SQL}, {scraped_sql(ROUTES_SQL)}, {INCREASE_SQL} SELECT ser AS route, strftime(to_timestamp(upto)::TIMESTAMP, '%Y-%m-%d %H:%M') AS moment, round(increase, 6) AS increase FROM inc""")
+def rate_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each route's counter grew, across two starts of the process."""
+    samples = rates.scraped(queries_of(spark, sf_dir).select("route", "ts", F.lit(1).alias("n")), ["route"], SCRAPE, lives_of(spark))
+    return rates.increases(samples, ["route"], RANGE, STEP).select("route", F.date_format("at", "yyyy-MM-dd HH:mm").alias("moment"), F.round("increase", 6).alias("increase"))
+
+
+@CATALOG.add("A30, S30", f"""WITH {LOG_SQL}, {BUCKET_SQL}, {scraped_sql(BUCKETS_SQL)}, {INCREASE_SQL}, r AS (SELECT upto, ser AS le, max(increase / {RANGE}) OVER (PARTITION BY upto ORDER BY ser ROWS UNBOUNDED PRECEDING) AS n FROM inc),
+    o AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS below, max(n) OVER (PARTITION BY upto) AS total FROM r WINDOW w AS (PARTITION BY upto ORDER BY le)), f AS (SELECT * FROM o, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) AS p(share) WHERE total > 0 AND n >= total * share QUALIFY row_number() OVER (PARTITION BY upto, share ORDER BY le) = 1)
+    SELECT strftime(to_timestamp(upto)::TIMESTAMP, '%Y-%m-%d %H:%M') AS moment, share, round(CASE WHEN isinf(le) THEN low ELSE coalesce(low + (le - low) * (total * share - below) / nullif(n - below, 0), low) END, 6) AS seconds FROM f""")
+def rate_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 95th percentile of the seconds of a request, from the rates of the buckets' counters alone."""
+    bounds = F.explode(F.array(*[F.lit(float(b)) for b in (*reports.BUCKETS["request_seconds"], float("inf"))])).alias("le")
+    counted = queries_of(spark, sf_dir).select("ts", (F.col("total_ms") / 1000).alias("x"), bounds).select("le", "ts", (F.col("x") <= F.col("le")).cast("int").alias("n"))
+    samples = rates.scraped(counted, ["le"], SCRAPE, lives_of(spark))
+    found = rates.rate_quantiles(rates.increases(samples, ["le"], RANGE, STEP), ["at"], (0.5, 0.95))
+    return found.select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("moment"), "share", F.round("value", 6).alias("seconds"))
+
+
+OUTCOMES_SQL = f"SELECT {OUTCOME_SQL} AS ser, ts, 1 AS n FROM costed WHERE event = 'query'"
+
+
+@CATALOG.add("S30", f"""WITH {LOG_SQL}, {scraped_sql(OUTCOMES_SQL)}, now AS (SELECT ser, arg_max(v, t) AS value FROM s GROUP BY ser) SELECT 'outcome' AS gauge, ser AS label, value FROM now UNION ALL SELECT 'queries', '', sum(value) FROM now
+    UNION ALL SELECT 'cited share', '', round(sum(value) FILTER (ser = 'cited') / sum(value) FILTER (ser IN ('cited', 'uncited')), 6) FROM now""")
+def dashboard_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last scrape shows: the outcomes, their sum, and the share of cited answers among those that were given, a ratio of sums."""
+    samples = rates.scraped(queries_of(spark, sf_dir).select(reports.outcome().alias("label"), "ts", F.lit(1).alias("n")), ["label"], SCRAPE, lives_of(spark))
+    now = rates.latest(samples, ["label"])
+    total, given = F.sum("value"), F.sum(F.when(F.col("label").isin("cited", "uncited"), F.col("value")))
+    both = now.agg(total.alias("q"), F.round(F.try_divide(F.sum(F.when(F.col("label") == "cited", F.col("value"))), given), 6).alias("s"))
+    sums = both.select(F.inline(F.array(F.struct(F.lit("queries").alias("gauge"), F.lit("").alias("label"), F.col("q").alias("value")), F.struct(F.lit("cited share").alias("gauge"), F.lit("").alias("label"), F.col("s").alias("value")))))
+    return now.select(F.lit("outcome").alias("gauge"), "label", "value").unionByName(sums)
