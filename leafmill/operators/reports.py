@@ -95,7 +95,7 @@ def percentiles(values: DataFrame, by: list[str], shares: tuple[float, ...], mos
         a, b = F.element_at("g", F.floor(around[0] * 250).cast("int") + 1), F.element_at("g", F.ceil(around[1] * 250).cast("int") + 1)
         bounds = save_point(bounds.select(*key, "k", "n", "low", "high", a.alias("a"), b.alias("b")))
         inner = values.join(bounds, by) if by else values.crossJoin(F.broadcast(bounds))
-        counts = inner.filter("x between low and high").groupBy(*key).agg(F.count_if("x < a").alias("below"), F.count_if("x between a and b").alias("inside"), *[F.first(c).alias(c) for c in ("k", "n", "low", "high", "a", "b")])
+        counts = inner.filter("x between low and high").groupBy(*key).agg(F.count_if(F.col("x") < F.col("a")).alias("below"), F.count_if(F.expr("x between a and b")).alias("inside"), *[F.first(c).alias(c) for c in ("k", "n", "low", "high", "a", "b")])
         good = (F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("inside")) & (F.col("inside") < F.col("n"))
         # an estimate that did not hold, or did not narrow, halves the range instead
         middle = F.col("low") + (F.col("high") - F.col("low")) / 2
