@@ -29,6 +29,10 @@ OUTSIDE = RAW | set("head nav footer aside form button select input dialog menu
 AROUND = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar
 breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login
 paywall social share sharing related comment comments commentlist disqus widget widgets pagination""".split())
+#: Those of them that name bars of links. Within an article they may be what it is about, so there they leave out only what is mostly links, or next to nothing.
+LINKS = set("nav navbar navigation menu menubar breadcrumb breadcrumbs social share sharing related pagination".split())
+#: The part of links from which, and the characters up to which, density agrees with such a name.
+LINK_SHARE, BRIEF = 1 / 3, 60
 #: Words that an article may have in it too: such an element is left out beside the chosen subtree, but not within it.
 BESIDE = set("""banner aside rail topbar toolbar notice notices alert recommended recommendations trending popular discussion reply replies
 respond pager search copyright legal disclaimer tags skip hidden contentinfo complementary""".split())
@@ -43,23 +47,24 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BORDERS = set("ul ol dl table div article section main body td th blockquote form nav aside header footer".split())
 
 
-def _marked(tag: str, attributes: str) -> int:
-    """Whether class, id, role or visibility put an element outside of the article: 0, NEAR, LOOSE, WHOLE or HIDDEN."""
-    mark = 0
+def _marked(tag: str, attributes: str) -> tuple[int, bool]:
+    """Whether class, id, role or visibility put an element outside of the article: 0, NEAR, LOOSE, WHOLE or HIDDEN; and whether no words but those of LINKS do."""
+    mark, links = 0, True
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return HIDDEN
+            return HIDDEN, False
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _NAMES.findall(token)]
                 if not words or words[0] in STATES or words[-1] in STATES - {"left", "right"}:
                     continue
                 if any(w in AROUND for w in words):
+                    links = links and all(w in LINKS for w in words if w in AROUND)
                     mark = max(mark, WHOLE if all(w in AROUND or w in BESIDE for w in words) else LOOSE)
                 elif any(w in BESIDE for w in words):
                     mark = max(mark, NEAR)
-    return mark
+    return mark, links and mark > NEAR
 
 
 class Page:
@@ -67,6 +72,7 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tags, self.parents, self.marked = ["html"], [-1], [0]
+        self.links: set[int] = set()  # elements that are marked by words of LINKS alone
         self.texts: list[tuple[int, str]] = []  # an empty text is the edge of a block
         self.open: Counter[str] = Counter()
         stack, at, n, quoted = [0], 0, len(html), True
@@ -100,7 +106,10 @@ class Page:
                 self._close(stack, CLOSES[tag], BORDERS)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.marked.append(_marked(tag, attributes) if attributes and tag not in ("html", "body", "main") else 0)
+            mark, links = _marked(tag, attributes) if attributes and tag not in ("html", "body", "main") else (0, False)
+            self.marked.append(mark)
+            if links:
+                self.links.add(len(self.tags) - 1)
             if tag in BLOCKS:
                 self.texts.append((stack[-1], ""))
             elif tag in ("br", "td", "th", "img"):
@@ -139,6 +148,25 @@ class Page:
             chars[self.parents[i]] += chars[i]
         return chars
 
+    def told(self) -> set[int]:
+        """Elements that are marked as bars of links but are text, in an article or as a paragraph: longer than BRIEF, and with less than LINK_SHARE of links."""
+        if not self.links:
+            return set()
+        n = len(self.tags)
+        chars, linked, inside, link = [0] * n, [0] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            p = self.parents[i]
+            inside[i] = inside[p] or self.tags[p] in ("article", "main")
+            link[i] = link[p] or self.tags[i] == "a"
+        for i, text in self.texts:
+            size = len(text) - text.count(" ")
+            chars[i] += size
+            linked[i] += size if link[i] else 0
+        for i in range(n - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+            linked[self.parents[i]] += linked[i]
+        return {i for i in self.links if (inside[i] or self.tags[i] == "p") and chars[i] > BRIEF and linked[i] < chars[i] * LINK_SHARE}
+
     def outside(self, named: bool = True) -> list[bool]:
         """Which elements are around the article, or within such ones; unless named, the words of class, id and role do not count.
 
@@ -146,7 +174,8 @@ class Page:
         """
         n = len(self.tags)
         plain = self.plain() if LOOSE in self.marked else None
-        marked = [m == HIDDEN or named and (m == WHOLE or m == LOOSE and plain[i] * 2 <= plain[0]) for i, m in enumerate(self.marked)]
+        told = self.told()
+        marked = [m == HIDDEN or named and i not in told and (m == WHOLE or m == LOOSE and plain[i] * 2 <= plain[0]) for i, m in enumerate(self.marked)]
         holds = [False] * n  # an article or main element of the page itself
         inside = [False] * n
         for i in range(1, n):
@@ -234,16 +263,16 @@ class Page:
         chosen, blocks, block = self.content(named), [], []
         for i, text in [*self.texts, (0, "")]:
             if not text:
-                if words := unescape("".join(block)).split():
+                if words := "".join(block).split():
                     blocks.append(" ".join(words))
                 block = []
             elif chosen[i]:
-                block.append(text)
+                block.append(unescape(text))  # a reference does not go on in the next element
         return "\n\n".join(blocks)
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns of pages but the html, and main_text, in place of one of this name. A null or empty page has an empty text; every page is read whole."""
+    """All columns of pages but the html, and main_text, in place of one of this name. A null or empty page has an empty text; every page is read whole. Repeated rows are pages of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):

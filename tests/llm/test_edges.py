@@ -214,6 +214,19 @@ def test_html_wrappers(wrapper):
     assert html_text.Page(f"<p>a<div class='hidden' hidden>{paragraphs[0]}</div>").text() == "a"
 
 
+def test_html_names_within():
+    """Names of bars of links leave text in an article alone, and still take away what is mostly links; references end with their element."""
+    long = "This paragraph is part of the article and says something at some length, whatever the name of its class may be."
+    links = "<a href='/a'>Another page of this site with a long title</a> <a href='/b'>One more page of it with a long title</a>"
+    kept = [f"<div class='social-history'><p>{long} One.</p></div>", f"<p class='related'>{long} Two.</p>", f"<p class='nav-theory'>{long} Three.</p>"]
+    gone = [f"<div class='related'>{links}</div>", f"<p class='social-links'>Share: {links}</p>", "<div class='share'>Share this</div>", f"<div class='comments'><p>{long} Reader.</p></div>", f"<p class='sponsored'>{long} Paid.</p>"]
+    for tag in ("article", "main", "div"):
+        text = html_text.Page(f"<body><{tag}><h1>Title</h1><p>{long}</p>{kept[1]}{gone[0]}{kept[2]}{''.join(gone[1:])}{kept[0] if tag != 'div' else ''}<p>{long} End.</p></{tag}></body>").text()
+        assert all(f"{long} {x}." in text for x in ("Two", "Three", "End", *(["One"] if tag != "div" else []))), text
+        assert not any(x in text for x in ("Another page", "Share", "Reader.", "Paid.")), text
+    assert html_text.Page(f"<article><p>{long} AT&am<b>p;amp;T</b> a &lt; b</p></article>").text() == f"{long} AT&amp;amp;T a < b"
+
+
 def test_simhash(docs, none):
     found = simhash_docs.with_component(simhash_docs.near_duplicates(docs, 3)).collect()
     assert len(found) == len(ROWS)
