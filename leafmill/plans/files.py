@@ -14,7 +14,7 @@ from leafmill.functions import pdf
 from leafmill.operators import pages
 from leafmill.plans.base import Catalog
 from leafmill.sources import pdf as source
-from leafmill.sources import store
+from leafmill.sources import store, versions
 from leafmill.sources.shared import save_point, shared_folder
 from leafmill.sources.tables import load
 
@@ -104,3 +104,22 @@ def uploads_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = files.select(F.when(n % 7 == 0, F.replace("file", F.lit(".pdf"), F.lit(".txt"))).otherwise(F.col("file")).alias("file"), F.when(n % 5 == 0, F.encode(F.lit("plain"), "utf-8")).otherwise(F.col("content")).alias("content"))
     source.write_files(named, folder)
     return store.checked_uploads(spark, folder).select(F.regexp_extract("path", r"d(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "refused")
+
+
+@CATALOG.add("S12, S13, S28", """WITH v AS (SELECT 1 AS version, doc_id, source, text FROM documents UNION ALL SELECT 3, doc_id, source, CASE WHEN doc_id % 10 = 1 THEN reverse(text) ELSE text END FROM documents WHERE doc_id % 25 <> 2),
+    p AS (SELECT version, 'text' AS part, doc_id, md5(text) AS digest FROM v UNION ALL SELECT version, 'source', doc_id, source FROM v WHERE NOT (version = 3 AND doc_id % 10 = 1)) SELECT version, part, doc_id, digest FROM p""")
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents in two parts; a reader of the first version, which goes on reading it while every tenth document is replaced (and loses its source)
+    and some are deleted; and what is there after that."""
+    docs = load(spark, sf_dir, "documents")
+    index = versions.Index(spark, f"{shared_folder(spark)}/{uuid4().hex}", 16)
+    first = index.save({"text": docs.select("doc_id", "text"), "source": docs.select("doc_id", "source")})
+
+    def shown(version: int) -> DataFrame:
+        text = index.read("text", version=version).select("doc_id", F.md5("text").alias("digest"), F.lit("text").alias("part"))
+        return text.unionByName(index.read("source", version=version).select("doc_id", F.col("source").alias("digest"), F.lit("source").alias("part"))).select(F.lit(version).alias("version"), "part", "doc_id", "digest")
+
+    reader = shown(first)
+    index.save({"text": docs.filter("doc_id % 10 = 1").select("doc_id", F.reverse("text").alias("text"))})
+    last = index.delete(docs.filter("doc_id % 25 = 2"))
+    return reader.unionByName(shown(last))
