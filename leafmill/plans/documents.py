@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import routing, text
-from leafmill.operators import chunks, sections
+from leafmill.operators import chunks, sections, segmentation
 from leafmill.plans.base import Catalog
 from leafmill.sources import urls
 from leafmill.sources.shared import shared_folder
@@ -304,3 +304,24 @@ def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = sections.text_headings(blocks_of(spark, sf_dir))
     d = heads.select("doc_id", F.col("ord").cast("int").alias("seq"), "title", "level", (F.floor(F.col("ord") / 10) + 1).cast("int").alias("page"), F.when(F.col("ord") % 3 == 0, F.array().cast("array<double>")).otherwise(F.array(F.col("ord").cast("double"), (F.col("ord") + 5).cast("double"))).alias("places"))
     return sections.located(d)
+
+
+#: Letters as CJK characters, for text of both scripts: the first half of a turn has such characters in place of letters, without spaces between words.
+LETTERS, CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E01 + 7 * k) for k in range(26))
+
+
+@CATALOG.add("F1, F2", rf"""WITH RECURSIVE mixed AS (SELECT conv_id, turn, translate(replace(lower(left(text, len(text) // 2)), ' ', ''), '{LETTERS}', '{CHARACTERS}') || ' ' || substr(text, len(text) // 2 + 1) AS text FROM conversations),
+    runs AS (SELECT conv_id, turn, i, r[i] AS run FROM (SELECT conv_id, turn, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[一-鿿぀-ヿ]+') AS r FROM mixed))),
+    subs AS (SELECT run[p:p + n - 1] AS word FROM (SELECT run, unnest(range(1, len(run) + 1)) AS p FROM runs), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE p + n - 1 <= len(run)), freq AS (SELECT word, count(*) AS n FROM subs GROUP BY word), whole AS (SELECT sum(n) AS chars FROM freq WHERE len(word) = 1),
+    v AS (SELECT word, round(ln(chars / n::DOUBLE) * 1e6)::BIGINT AS cost FROM freq, whole WHERE len(word) = 1 OR n >= 2), once AS (SELECT DISTINCT run FROM runs),
+    walk(run, i, costs, lens) AS (SELECT run, 0, [0::BIGINT], []::INTEGER[] FROM once UNION ALL SELECT run, i + 1, list_append(costs, best.c), list_append(lens, -best.l) FROM (SELECT w.run, w.i, w.costs, w.lens, list_min(list_filter([{{'c': w.costs[i + 1] + v1.cost, 'l': -1}}, {{'c': CASE WHEN i >= 1 THEN w.costs[i] + v2.cost END, 'l': -2}}, {{'c': CASE WHEN i >= 2 THEN w.costs[i - 1] + v3.cost END, 'l': -3}}, {{'c': CASE WHEN i >= 3 THEN w.costs[i - 2] + v4.cost END, 'l': -4}}], lambda x: x.c IS NOT NULL)) AS best
+        FROM walk w LEFT JOIN v v1 ON v1.word = w.run[i + 1:i + 1] LEFT JOIN v v2 ON v2.word = w.run[i:i + 1] AND i >= 1 LEFT JOIN v v3 ON v3.word = w.run[i - 1:i + 1] AND i >= 2 LEFT JOIN v v4 ON v4.word = w.run[i - 2:i + 1] AND i >= 3 WHERE i < len(w.run))),
+    done AS (SELECT run, lens FROM walk WHERE i = len(run)), back(run, lens, i, words) AS (SELECT run, lens, len(run), []::VARCHAR[] FROM done UNION ALL SELECT run, lens, i - lens[i], list_prepend(run[i - lens[i] + 1:i], words) FROM back WHERE i > 0),
+    cut AS (SELECT run, words FROM back WHERE i = 0), cjk AS (SELECT conv_id, turn, string_agg(array_to_string(words, ' '), ' ' ORDER BY i) AS c FROM runs JOIN cut USING (run) GROUP BY ALL), latin AS (SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._\-+%/]*'), lambda t: lower(t)), ' ') AS l FROM mixed)
+    SELECT conv_id, turn, trim(l || ' ' || coalesce(c, '')) AS terms FROM latin LEFT JOIN cjk USING (conv_id, turn)""")
+def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of text of both scripts, with words that the corpus itself teaches."""
+    half = F.expr("cast(length(text) div 2 as int)")
+    turned = F.translate(F.replace(F.lower(F.expr("left(text, cast(length(text) div 2 as int))")), F.lit(" "), F.lit("")), LETTERS, CHARACTERS)
+    mixed = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(turned, F.lit(" "), F.substr("text", half + 1)).alias("text"))
+    return segmentation.segmented(mixed, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join("terms", " ").alias("terms"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.functions import tools
 from leafmill.functions.text import repaired_caps, squeezed
 from leafmill.operators import cells, layout, packing
 from leafmill.operators import sections as sec
@@ -87,6 +88,19 @@ def cell_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT a.ask_id, t.value, t.found FROM tool_asks a, LATERAL table_cell(a.doc_id, a.table_id, a.row_label, a.col_name) t")
 
 
+@CATALOG.add("X7, S25", f"""WITH {CELL_SQL}, {ASK_SQL}, found AS (SELECT ask_id, a.doc_id, a.table_id, CASE WHEN t.doc_id IS NULL THEN 'no_table' WHEN a.table_id IN ('T_N', 'T_A') THEN 'not_data' WHEN a.row_label IS NULL THEN 'coordinates' ELSE 'value' END AS answer, c.val FROM asked a LEFT JOIN (SELECT DISTINCT doc_id, table_id FROM cells) t USING (doc_id, table_id) LEFT JOIN cells c ON c.doc_id = a.doc_id AND c.table_id = a.table_id AND c.row_label = a.row_label AND c.col_name = a.col_name),
+    labels AS (SELECT doc_id, table_id, string_agg(row_label, ',' ORDER BY row_idx) AS rows_ FROM (SELECT DISTINCT doc_id, table_id, row_idx, row_label FROM cells) GROUP BY ALL)
+    SELECT ask_id, answer, CASE WHEN answer = 'value' THEN val END AS value, CASE WHEN answer = 'value' THEN val IS NOT NULL END AS found, CASE WHEN answer = 'coordinates' THEN rows_ END AS rows_ FROM found LEFT JOIN labels USING (doc_id, table_id)""")
+def cell_tool_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-up of a cell as a table function that takes cells and questions by table, and asks for that order itself."""
+    tools.register(spark)
+    known = cells_of(spark, sf_dir).join(tables_of(spark, sf_dir).select("doc_id", "table_id", (F.col("validated") & (F.col("kind") == "data")).alias("sound")), ["doc_id", "table_id"])
+    rows = known.select("doc_id", "table_id", F.lit(None).cast("long").alias("ask_id"), F.col("row_idx").cast("int").alias("row_idx"), "row_label", "col_name", "val", "sound")
+    asked = asked_of(spark, sf_dir).select("doc_id", "table_id", "ask_id", F.lit(None).cast("int").alias("row_idx"), "row_label", "col_name", F.lit(None).cast("string").alias("val"), F.lit(None).cast("boolean").alias("sound"))
+    rows.unionByName(asked).createOrReplaceTempView("tool_rows")
+    return spark.sql("SELECT * FROM table_cells(TABLE(tool_rows))")
+
+
 @CATALOG.add("R3", f"WITH {CELL_SQL} SELECT doc_id, table_id, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_columns FROM cells GROUP BY ALL")
 def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of each document with their rows and columns."""
