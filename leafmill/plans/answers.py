@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import routing
-from leafmill.operators import packing, retrieval
+from leafmill.operators import answering, packing, retrieval
 from leafmill.plans import documents, questions, search
 from leafmill.plans.base import Catalog
+from leafmill.sources.shared import save_point
 
 CATALOG = Catalog()
 #: Hits of a question, and how many more a comparison gets.
@@ -36,11 +37,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("route", routing.route(q, F.col("named").isNotNull())).withColumn("pair", F.when(F.col("route") == "comparison", F.col("pair")).otherwise(F.array().cast("array<string>")))
 
 
-def evidence(asks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, rank: what is shown of each question that is searched. asks: query_id, question, pair, named, route; chunks: chunk_id, kind, table_id, text.
+def routed_hits(asks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, rank: the hits of each question that is searched. asks: query_id, question, pair, named, route; chunks: chunk_id, kind, table_id, text.
 
     A comparison is searched by its aspects too, for more hits, which are taken in turn; of its table rows only those that name both
-    things stay. A table that a question names comes first. Rows give way to their whole tables.
+    things stay. A table that a question names comes first.
     """
     subs = asks.filter("route != 'summary'").select("query_id", "route", F.posexplode(routing.subqueries(F.col("question"), F.col("pair"))).alias("sub", "text"))
     hits = retrieval.lexical_top(chunks.select(F.lit(0).alias("index_id"), "chunk_id", "text"), subs.select((F.col("query_id") * 10 + F.col("sub")).alias("query_id"), F.lit(0).alias("index_id"), "text"), HITS + MORE)
@@ -50,7 +51,12 @@ def evidence(asks: DataFrame, chunks: DataFrame) -> DataFrame:
     fit = packing.named_rows(turns.join(chunks, "chunk_id").join(asks.select("query_id", "pair"), "query_id"), "pair").select("query_id", "chunk_id", "rank")
     whole = chunks.filter("kind = 'table_full' and table_id is not null").groupBy("table_id").agg(F.min("chunk_id").alias("chunk_id"))
     led = asks.filter("route = 'table_lookup'").join(whole, F.col("named") == F.col("table_id")).select("query_id", "chunk_id")
-    return packing.with_whole_tables(packing.named_first(fit, led), chunks)
+    return packing.named_first(fit, led)
+
+
+def evidence(asks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, rank: the hits, of which rows give way to their whole tables."""
+    return packing.with_whole_tables(routed_hits(asks, chunks), chunks)
 
 
 @CATALOG.add("J19, P12, U7", f"WITH {ASK_SQL} SELECT query_id, route, chunk_id, rank::INTEGER AS rank FROM shown JOIN asks USING (query_id)")
@@ -69,3 +75,22 @@ def focused_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = shown.join(chunks.filter("kind = 'table_full'").select("chunk_id", "table_id"), "chunk_id").select("query_id", "pair", "table_id")
     rows = tables.join(chunks.filter("kind = 'table_row'").select("table_id", "chunk_id", F.col("text").alias("row_label")), "table_id")
     return packing.focused_rows(rows, "pair").select("query_id", "table_id", "chunk_id")
+
+
+PACKED_SQL = questions.PROMPT_SQL[: questions.PROMPT_SQL.index("prompts AS")].rstrip().rstrip(",")
+ANSWERED_SQL = rf"""{questions.ADDED_SQL.replace("tabs", "shown_tabs")}, budgets AS (SELECT query_id, greatest(0, 6200 - greatest(len(regexp_extract_all(question, '\S+')) * 7, 200)) AS budget FROM asks), {questions.PACK_SQL}, {PACKED_SQL},
+    pairs AS (SELECT query_id, 1 AS k, p.a AS name FROM asks WHERE route = 'comparison' AND p IS NOT NULL UNION ALL SELECT query_id, 2, p.b FROM asks WHERE route = 'comparison' AND p IS NOT NULL),
+    told AS (SELECT query_id, k, name || ' is named in ' || coalesce('blocks ' || string_agg(n::VARCHAR, ', ' ORDER BY n) FILTER (contains(lower(shown), lower(name))), 'none') AS line FROM pairs JOIN shown_ USING (query_id) GROUP BY query_id, k, name), facts AS (SELECT query_id, string_agg(chr(10) || '- ' || line, '' ORDER BY k) AS more FROM told GROUP BY query_id),
+    written AS (SELECT query_id, string_agg(array_to_string(list_filter(regexp_split_to_array(shown, '\s+'), lambda x: x <> '')[1:12], ' ') || ' [' || n || ']', ' ' ORDER BY n) AS answer FROM shown_ WHERE n <= 2 GROUP BY query_id), used AS (SELECT query_id, answer, list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::BIGINT) AS ns FROM written),
+    sourced AS (SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY n) AS sources FROM shown_ JOIN used USING (query_id) WHERE list_contains(ns, n) GROUP BY query_id)"""
+
+
+@CATALOG.add("E1, P12, F18, X4", rf"""WITH RECURSIVE {ASK_SQL}, {ANSWERED_SQL}
+    SELECT query_id, route, blocks AS n_blocks, md5(context || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Computed from the tables, use as they are:' || chr(10) || '- ' || blocks || ' blocks are given' || coalesce(more, '')) AS prompt, answer, coalesce(sources, '') AS sources
+    FROM contexts JOIN asks USING (query_id) JOIN written USING (query_id) LEFT JOIN facts USING (query_id) LEFT JOIN sourced USING (query_id)""")
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each question to its answer: route, search, whole tables and their discussion, budget, facts, prompt, and the sources that the answer cites."""
+    asks, chunks = asked(spark, sf_dir), questions.chunks_of(spark, sf_dir)
+    shown = save_point(answering.blocks(asks, save_point(routed_hits(asks, chunks)), chunks))
+    out = answering.answered(asks, shown).join(asks.select("query_id", "route"), "query_id")
+    return out.select("query_id", "route", "n_blocks", F.md5("prompt").alias("prompt"), "answer", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
