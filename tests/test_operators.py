@@ -139,3 +139,50 @@ def test_ingest_tables(spark):
     assert "doc-info" in out and not any("inside" in r.text for r in out.values())
     plain = ingest.ingested(blocks, profiles, tables, cells, use_tables=False).collect()
     assert {r.kind for r in plain} == {"text"} and any("inside the table" in r.text for r in plain)
+
+
+def test_search_sums_of_parts_and_common_questions(spark, monkeypatch):
+    """Small parts and blocks, equal questions, and a chunk that has the same rows twice give what a plain sum gives."""
+    from leafmill.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "POSTINGS", 4)
+    monkeypatch.setattr(retrieval, "ASKED", 2)
+    texts = [(0, i, f"a{i % 3} b{i % 2} c" + " c" * (i % 4)) for i in range(12)] + [(0, 12, None), (0, 13, "")]
+    chunks = spark.createDataFrame(texts, "index_id int, chunk_id long, text string")
+    asked = spark.createDataFrame([(1, 0, "a1 b0"), (2, 0, "b0 a1"), (3, 0, "a2 a2 c"), (4, 0, None), (5, 0, "none")], "query_id long, index_id int, text string")
+    got = {}
+    for r in retrieval.lexical_top(chunks, asked, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    stats = {r.term: r for r in retrieval.term_stats(retrieval.postings(chunks)).collect()}
+    for q, words in ((1, "a1 b0"), (2, "b0 a1"), (3, "a2 a2 c")):
+        scores = []
+        for _, i, text in texts[:12]:
+            has = text.split()
+            n = sum(stats[w].idf * has.count(w) * 2.5 / (has.count(w) + 1.5 * (0.25 + 0.75 * len(has) / stats[w].avgdl)) for w in words.split())
+            scores.append((-round(n, 6), i))
+        assert got[q] == [(i, -s) for s, i in sorted(scores)[:3]]
+    assert sorted(got) == [1, 2, 3]
+
+
+def test_dense_search_of_small_parts(spark, monkeypatch):
+    from leafmill.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PART", 7)
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "PRODUCT", 2)
+    v = [[float((i * 7) % 5), float(i % 3), 1.0] for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(v)), "chunk_id long, v array<double>")
+    asked = rows.filter("chunk_id % 4 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = {}
+    for r in retrieval.dense_top(rows, asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    for q in range(0, 40, 4):
+        best = sorted((-round(sum(a * b for a, b in zip(v[q], w, strict=True)), 6), i) for i, w in enumerate(v))[:5]
+        assert got[q] == [(i, -s) for s, i in best]
+
+
+def test_a_long_score_matrix_is_never_whole(spark):
+    """A product takes a few queries at a time, so that a task of the largest part and block stays small."""
+    from leafmill.operators import retrieval
+
+    assert retrieval.PRODUCT * retrieval.PART * 8 <= 32 << 20
