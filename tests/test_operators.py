@@ -186,3 +186,21 @@ def test_a_long_score_matrix_is_never_whole(spark):
     from leafmill.operators import retrieval
 
     assert retrieval.PRODUCT * retrieval.PART * 8 <= 32 << 20
+
+
+def test_streams_of_tables_in_several_files(spark, tmp_path):
+    from leafmill.plans import streams
+
+    spark.createDataFrame([(i // 3, i % 3) for i in range(30)], "conv_id long, turn long").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = streams.summary_progress(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.done, r.total) for r in got) == [(i, 3, 3) for i in range(10)]
+
+
+def test_words_of_pages_are_not_shuffled(spark):
+    """Cells, their columns and headers come of one shuffle of the lines."""
+    from leafmill.plans import catalog
+
+    for name in ("grid_cells", "aligned_cells", "spanned_headers"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.split("\n") if "Exchange" in line]
+        assert moved and all("REPARTITION_BY_NUM" in line for line in moved), moved
