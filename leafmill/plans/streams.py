@@ -19,8 +19,9 @@ CATALOG = Catalog()
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its file."""
-    return spark.readStream.schema(load(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    """A table as a stream of its file, or of the files of its folder."""
+    # a pattern, as a stream takes a single file by one alone
+    return spark.readStream.schema(load(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def to_end(stream: DataFrame, mode: str) -> DataFrame:
