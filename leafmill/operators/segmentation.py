@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import CJK, TERM
-from leafmill.sources.shared import save_point
+from leafmill.sources.shared import SENT, save_point
 
 #: Characters of a word at most, and how often a word of several characters has to occur.
 LONGEST, LEAST = 4, 2
@@ -56,8 +56,13 @@ def cheapest(size: int, edges: Iterable[tuple[int, int, int]]) -> list[int]:
 def words_of_runs(found: DataFrame, words: DataFrame, longest: int = LONGEST) -> DataFrame:
     """run, words of each distinct run. The graph's edges are the run's substrings that the vocabulary has, found by a join; each run is then walked by itself. A
     character that the vocabulary lacks is a word of its own. found: run; words: word, cost."""
-    each = found.select("run").distinct().select("run", F.explode(_substrings(longest)).alias("x")).select("run", "x.word", "x.end")
-    graph = each.join(words, "word").groupBy("run").agg(F.collect_list(F.struct("end", F.length("word").alias("n"), "cost")).alias("edges"))
+    # runs go by a number, as each has four substrings a character; estimates of sizes know nothing of that, so that what is broadcast is measured
+    own = save_point(found.select("run").distinct().withColumn("r", F.monotonically_increasing_id()))
+    words = save_point(words)
+    words = F.broadcast(words) if 96 * words.count() <= SENT else words.hint("merge")
+    each = own.select("r", F.explode(_substrings(longest)).alias("x")).select("r", "x.word", "x.end")
+    edges = each.join(words, "word").groupBy("r").agg(F.collect_list(F.struct("end", F.length("word").alias("n"), "cost")).alias("edges"))
+    graph = own.join(edges.hint("merge"), "r").select("run", "edges")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -80,7 +85,7 @@ def segmented(df: DataFrame, key: list[str], words: DataFrame | None = None) ->
     """
     words = vocabulary(df) if words is None else words
     placed = df.select(*key, F.posexplode(runs(F.col("text"))).alias("at", "run"))
-    cut = placed.join(words_of_runs(placed, words), "run")
+    cut = placed.join(words_of_runs(placed, words).hint("merge"), "run")
     own = cut.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("cjk"))
     latin = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({TERM})"), F.lit(1)), lambda t: F.lower(t))
-    return df.select(*key, latin.alias("latin")).join(own, key, "left").select(*key, F.concat("latin", F.coalesce("cjk", F.array().cast("array<string>"))).alias("terms"))
+    return df.select(*key, latin.alias("latin")).join(own.hint("merge"), key, "left").select(*key, F.concat("latin", F.coalesce("cjk", F.array().cast("array<string>"))).alias("terms"))

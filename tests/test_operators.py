@@ -204,3 +204,31 @@ def test_words_of_pages_are_not_shuffled(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         moved = [line for line in plan.split("\n") if "Exchange" in line]
         assert moved and all("REPARTITION_BY_NUM" in line for line in moved), moved
+
+
+def test_segmentation_broadcasts_only_what_is_measured(spark, monkeypatch):
+    from leafmill.operators import segmentation
+
+    df = spark.createDataFrame([(1, "甲乙丙 甲乙 ab"), (2, "甲乙丁"), (3, None)], "id long, text string")
+    small = {r.id: r.terms for r in segmentation.segmented(df, ["id"]).collect()}
+    monkeypatch.setattr(segmentation, "SENT", 0)
+    out = segmentation.segmented(df, ["id"])
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.terms for r in out.collect()} == small == {1: ["ab", "甲乙", "丙", "甲乙"], 2: ["甲乙", "丁"], 3: []}
+
+
+def test_grams_of_a_text_are_counted_in_place(spark):
+    import hashlib
+
+    from leafmill.functions.embedding import embedder
+
+    texts = ["Ab  cab cab", "日本𝄞語日本𝄞", "ab", None]
+    out = embedder("grams")(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        bare, v = " ".join((texts[r.id] or "").lower().split()), [0.0] * 64
+        for i in range(len(bare) - 2):
+            h = int(hashlib.md5(bare[i : i + 3].encode()).hexdigest()[:8], 16)
+            v[h % 64] += 1 if h >= 2**31 else -1
+        n = max(sum(x * x for x in v) ** 0.5, 1e-12)
+        assert [round(x, 9) for x in r.v] == [round(x / n, 9) for x in v]
