@@ -7,13 +7,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import pdf
 
 STRUCTURE = "file string, what string, n int, level int, title string, page int, width double, height double, contents array<int>, fonts map<string, int>"
+STRUCTURE_KINDS = pa.schema([("file", pa.string()), ("what", pa.string()), ("n", pa.int32()), ("level", pa.int32()), ("title", pa.string()), ("page", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("contents", pa.list_(pa.int32())), ("fonts", pa.map_(pa.string(), pa.int32()))])
+RUN = "file string, page int, seq int, kind string, block int, x0 double, y0 double, x1 double, y1 double, size double, text string"
+RUN_KINDS = pa.schema([("file", pa.string()), ("page", pa.int32()), ("seq", pa.int32()), ("kind", pa.string()), ("block", pa.int32()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1", "size")), ("text", pa.string())])
+#: Rows that a task gives on at once, about.
+ROWS = 8192
+
+
+def _batches(rows: Iterator[tuple], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
 
 
 def _inherited(nodes: dict[int, dict[str, str]], number: int, name: str) -> str:
@@ -36,10 +52,8 @@ def _fonts(nodes: dict[int, dict[str, str]], resources: str) -> dict[str, int]:
     return {n: m for n, m in maps.items() if m is not None}
 
 
-def _structure(frame: pd.DataFrame) -> pd.DataFrame:
+def _structure(file: str, nodes: dict[int, dict[str, str]]) -> list[tuple]:
     """A file's pages in order and its outline, from the objects that are no streams."""
-    nodes = {n: dict(e) for n, e in zip(frame["number"], frame["entries"], strict=True)}
-    file = frame["file"].iloc[0]
     root = nodes.get(pdf.reference(nodes.get(0, {}).get("Root")) or -1, {})
     title = nodes.get(pdf.reference(nodes.get(0, {}).get("Info")) or -1, {}).get("Title")
     out, places, todo, seen = [], {}, [pdf.reference(root.get("Pages"))], set()
@@ -54,7 +68,7 @@ def _structure(frame: pd.DataFrame) -> pd.DataFrame:
             places[n] = len(places) + 1
             box = [float(x) for x in _inherited(nodes, n, "MediaBox").strip("[] ").split()] or [0, 0, 612, 792]
             contents = pdf.references(nodes[n].get("Contents")) if nodes[n].get("Contents") else []
-            out.append((file, "page", places[n], 0, None, places[n], box[2] - box[0], box[3] - box[1], contents, _fonts(nodes, _inherited(nodes, n, "Resources"))))
+            out.append((file, "page", places[n], 0, None, places[n], box[2] - box[0], box[3] - box[1], contents, list(_fonts(nodes, _inherited(nodes, n, "Resources")).items())))
     todo = [(pdf.reference(nodes.get(pdf.reference(root.get("Outlines")) or -1, {}).get("First")), 1)]
     k, seen = 0, set()
     while todo:
@@ -67,13 +81,29 @@ def _structure(frame: pd.DataFrame) -> pd.DataFrame:
         out.append((file, "outline", k, level, " ".join(nodes[n].get("Title", "").split()), places.get(target[0]) if target else None, None, None, [], {}))
         todo += [(pdf.reference(nodes[n].get("Next")), level), (pdf.reference(nodes[n].get("First")), level + 1)]
     out.append((file, "file", len(places), 0, title, None, None, None, [], {}))
-    return pd.DataFrame(out, columns=["file", "what", "n", "level", "title", "page", "width", "height", "contents", "fonts"]).astype({"page": "Int32"})
+    return out
 
 
 def structure(objects: DataFrame) -> DataFrame:
     """file, what, n, and what belongs to each: of a page its number, width, height, contents and fonts; of an outline entry its place, level, title and page (null if none); of a
     file the number of pages and the title in its information (null if none). Files whose tree of pages is broken have no pages."""
-    return objects.filter("kind != 'stream'").select("file", "number", "entries").groupBy("file").applyInPandas(_structure, STRUCTURE)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        file, nodes = None, {}
+        for batch in batches:
+            for name, number, entries in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if nodes and name != file:
+                    yield from _structure(file, nodes)
+                    nodes = {}
+                file, nodes[number] = name, dict(entries)
+        if nodes:
+            yield from _structure(file, nodes)
+
+    # a file's objects are few bytes but much work, so they are dealt out by number, not by size
+    spark = objects.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    plain = objects.filter("kind != 'stream'").select("file", "number", "entries").repartition(tasks, "file").sortWithinPartitions("file")
+    return plain.mapInArrow(lambda batches: _batches(rows(batches), STRUCTURE_KINDS), STRUCTURE)
 
 
 def runs(objects: DataFrame, parts: DataFrame) -> DataFrame:
@@ -91,24 +121,24 @@ def runs(objects: DataFrame, parts: DataFrame) -> DataFrame:
     )
     full = own.join(pages.select("file", "page", "height"), ["file", "page"])
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, page, height, contents, maps in zip(frame["file"], frame["page"], frame["height"], frame["contents"], frame["maps"], strict=True):
-                found = list(pdf.shown(b"\n".join(bytes(c["stream"]) for c in contents), {k: bytes(v) for k, v in dict(maps).items()}))
-                rows = [(file, page, seq, kind, block, x0, height - y1, x1, height - y0, size, text) for seq, (kind, block, x0, y0, x1, y1, size, text) in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["file", "page", "seq", "kind", "block", "x0", "y0", "x1", "y1", "size", "text"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                file, page, height, contents, maps = (batch.column(c)[k].as_py() for c in range(5))
+                for seq, (kind, block, x0, y0, x1, y1, size, text) in enumerate(pdf.shown(b"\n".join(c["stream"] for c in contents), dict(maps))):
+                    yield file, page, seq, kind, block, x0, height - y1, x1, height - y0, size, text
 
-    return full.select("file", "page", "height", "contents", "maps").mapInPandas(read, "file string, page int, seq int, kind string, block int, x0 double, y0 double, x1 double, y1 double, size double, text string")
+    return full.select("file", "page", "height", "contents", "maps").mapInArrow(lambda batches: _batches(rows(batches), RUN_KINDS), RUN)
 
 
 def lines(shown: DataFrame) -> DataFrame:
     """file, page, seq, block, x0, y0, x1, y1, size (of the most characters), text: the runs of a text object on one base line, in their order."""
-    each = shown.filter("kind = 'run'").withColumn("base", F.round("y1", 1))
-    chars = each.groupBy("file", "page", "block", "base", F.round("size", 1).alias("size")).agg(F.sum(F.char_length("text")).alias("n"))
-    size = chars.groupBy("file", "page", "block", "base").agg(F.max_by("size", F.struct("n", "size")).alias("size"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "")
-    joined = each.groupBy("file", "page", "block", "base").agg(F.min("seq").alias("seq"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"))
-    return joined.join(size, ["file", "page", "block", "base"]).drop("base")
+    line, box = ["file", "page", "block", "base"], [F.min("seq").alias("seq"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    # a page's runs meet in one place first, so that each page is read once and the groups within it need no shuffle of their own
+    each = shown.filter("kind = 'run'").withColumn("base", F.round("y1", 1)).repartition("file", "page")
+    sizes = each.groupBy(*line, F.round("size", 1).alias("size")).agg(F.sum(F.char_length("text")).alias("n"), *box, F.collect_list(F.struct("seq", "text")).alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("t"))), lambda s: s["text"]), "")
+    return sizes.groupBy(*line).agg(*box, text.alias("text"), F.max_by("size", F.struct("n", "size")).alias("size")).drop("base")
 
 
 def rules(shown: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from leafmill.operators import pages
 from leafmill.plans.base import Catalog
 from leafmill.sources import pdf as source
 from leafmill.sources import store, versions
-from leafmill.sources.shared import save_point, shared_folder
+from leafmill.sources.shared import save_point, shared_folder, spread
 from leafmill.sources.tables import load
 
 CATALOG = Catalog()
@@ -36,7 +36,7 @@ def as_files(docs: DataFrame) -> DataFrame:
                 out.append(pdf.written([[(x, 10 if i else 14) for i, x in enumerate(leaf)] for leaf in leaves], outline, f"Document {doc_id}" if doc_id % 2 else "none"))
             yield pd.DataFrame({"file": "d" + frame["doc_id"].astype(str) + ".pdf", "content": out})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "file string, content binary")
+    return spread(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, "file string, content binary")
 
 
 def kept_files(spark: SparkSession, sf_dir: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from leafmill.functions import pdf
 
 #: Bytes of files that one partition reads, about.
-RANGE = 32 << 20
+RANGE = 4 << 20
 
 
 @dataclass
@@ -74,7 +74,7 @@ class PdfReader(DataSourceReader):
             if data[:4] != b"%PDF":
                 continue
             name = PurePosixPath(path).name
-            for number, entries, stream in pdf.objects(data):
+            for number, entries, stream in pdf.objects(data, self.kinds is None or "stream" in self.kinds):
                 kind = "trailer" if number == 0 else "stream" if stream is not None else "plain"
                 if self.kinds is None or kind in self.kinds:
                     yield name, number, kind, entries, stream

@@ -120,3 +120,17 @@ def test_writer_names_at_the_end(tmp_path):
     writer.commit([done, None])
     writer.abort([again])
     assert [p.name for p in tmp_path.iterdir()] == ["x.pdf"]
+
+
+def test_pages_are_read_once(spark, folder):
+    """Lines read each page in one place of the plan; streams are left packed where none is asked for; documents are written by several tasks."""
+    from leafmill.plans import files
+
+    objects = source.read_objects(spark, folder)
+    parts = pages.structure(objects)
+    plan = pages.lines(pages.runs(objects, parts.localCheckpoint()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 2
+    assert [(n, e) for n, e, _ in pdf.objects(packed(True), False)] == [(n, e) for n, e, _ in pdf.objects(packed(True))]
+    assert all(not s for *_, s in pdf.objects(PLAIN, False))
+    docs = spark.createDataFrame([(k, "a line\nanother") for k in range(64)], "doc_id long, text string").coalesce(1)
+    assert files.as_files(docs).rdd.getNumPartitions() >= 8
