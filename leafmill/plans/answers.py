@@ -33,8 +33,11 @@ ASK_SQL = rf"""{documents.QUESTION_SQL}, {documents.FORMS_SQL}, {questions.CHUNK
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, question, pair (of a comparison), named (a table, or null), route."""
     q, pair = F.col("question"), routing.compared(F.col("question"))
-    out = documents.questions_of(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question", pair.alias("pair"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("T"), F.col("conv_id") % 20)).alias("named"))
-    return out.withColumn("route", routing.route(q, F.col("named").isNotNull())).withColumn("pair", F.when(F.col("route") == "comparison", F.col("pair")).otherwise(F.array().cast("array<string>")))
+    # routing is much work for few bytes and is asked for by several steps: dealt out by question, and done once
+    plain = documents.questions_of(spark, sf_dir)
+    plain = plain.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "conv_id", "turn")
+    out = plain.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question", pair.alias("pair"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("T"), F.col("conv_id") % 20)).alias("named"))
+    return save_point(out.withColumn("route", routing.route(q, F.col("named").isNotNull())).withColumn("pair", F.when(F.col("route") == "comparison", F.col("pair")).otherwise(F.array().cast("array<string>"))))
 
 
 def routed_hits(asks: DataFrame, chunks: DataFrame) -> DataFrame:

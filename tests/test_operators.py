@@ -232,3 +232,17 @@ def test_grams_of_a_text_are_counted_in_place(spark):
             v[h % 64] += 1 if h >= 2**31 else -1
         n = max(sum(x * x for x in v) ** 0.5, 1e-12)
         assert [round(x, 9) for x in r.v] == [round(x / n, 9) for x in v]
+
+
+def test_each_part_has_its_task(spark):
+    """Parts and blocks of a search never meet in one task, of however many; by hash into 8 partitions, 24 places would."""
+    rows = spark.range(2400).select((F.col("id") % 8).cast("int").alias("part"), (F.col("id") % 3).cast("int").alias("block"))
+    placed = retrieval._placed(rows, 8, 3).select("place", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(placed) == len({r.place for r in placed}) == len({r.task for r in placed}) == 24
+
+
+def test_questions_are_routed_once(spark):
+    from leafmill.plans import answers
+
+    plan = answers.asked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "regexp" not in plan
