@@ -1,4 +1,5 @@
-"""Near-duplicate documents: texts that share a band of least hashes are held against each other by their sets of shingles."""
+"""Near-duplicate documents: texts whose SimHash fingerprints lie within a few bits meet in BK-trees, and an exact check of their sets of shingles follows;
+texts that share a band of least hashes are held against each other too, as most pairs at the similarity asked for lie further apart in fingerprints."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import apart, row_key, save_point, slices, utf8, whole_groups
 from leafmill.llm.components import components
-from leafmill.llm.simhash_docs import shingle_hashes
+from leafmill.llm.simhash_docs import majority, near_links, shingle_hashes
 
 #: Similarity (Jaccard, of sets of shingles) from which texts are linked.
 SIMILAR = 0.8
@@ -65,21 +66,23 @@ def forest(side: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> list[t
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, k1, k2 (the row's key), u (hash of the set of shingles), bands."""
+    """doc_id, k1, k2 (the row's key), u (hash of the set of shingles), fp (SimHash), bands."""
     k1, k2 = row_key()
-    kinds = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("k1", "k2", "u")), ("bands", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("k1", "k2", "u", "fp")), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 3)):
-            u, keys = [], []
+            u, fp, keys = [], [], []
             for text in utf8(batch.column(3)):
-                h = np.unique(shingle_hashes(text, words))
+                h = shingle_hashes(text, words)
+                fp.append(majority(h))
+                h = np.unique(h)
                 u.append(xxhash.xxh64_intdigest(h.tobytes()))
                 keys.append(bands(h))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(u, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, fp)), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
 
     plain = docs.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), "text")
-    return plain.mapInArrow(run, "doc_id long, k1 long, k2 long, u long, bands array<long>")
+    return plain.mapInArrow(run, "doc_id long, k1 long, k2 long, u long, fp long, bands array<long>")
 
 
 def _compared(rows: DataFrame) -> DataFrame:
@@ -98,29 +101,49 @@ def _compared(rows: DataFrame) -> DataFrame:
     return rows.select(*by, "side", "u", "root", "s").repartition(*by).sortWithinPartitions(*by).mapInPandas(run, "a long, b long").distinct()
 
 
-def linked(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, root) of the sets of shingles that links connect. Only texts that share a band with another are read again, one of each set.
-
-    Bands of over TREE sets are cut in parts, each compared within itself first. Only where the sets of a band then are in several
-    groups does each part meet the others, and pairs of one group are not compared.
-    """
-    each = prints.groupBy("u").agg(F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("k"))
-    keyed = save_point(each.select("u", "k", F.explode("bands").alias("band")))
-    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    met = save_point(keyed.join(sizes, "band").withColumn("cuts", F.ceil(F.col("n") / TREE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("u"), F.col("cuts")).cast("int")))
+def _sets(docs: DataFrame, of: DataFrame, words: int) -> DataFrame:
+    """u, s: the sets of shingles, as bytes, of the texts in `of` (u and k, the key of one row that has it)."""
     k1, k2 = row_key()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["u", "s"])
 
-    def sets(of: DataFrame) -> DataFrame:
-        wanted = of.select("u", "k.k1", "k.k2").distinct()
-        texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(wanted, ["k1", "k2"]).select("u", "text")
-        return texts.mapInArrow(read, "u long, s binary").dropDuplicates(["u"])
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(of.select("u", "k.k1", "k.k2").distinct(), ["k1", "k2"]).select("u", "text")
+    return texts.mapInArrow(read, "u long, s binary").dropDuplicates(["u"])
+
+
+def simhash_links(each: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(a, b): links between sets of shingles that SimHash and BK-trees find within 3 bits and that are alike. each: u, fp, k (a row's key), a row each set."""
+    first = each.groupBy("fp").agg(F.min("u").alias("least"))
+    same = each.join(first, "fp").filter("u != least").select(F.col("least").alias("a"), F.col("u").alias("b"))
+    near = near_links(first.select("fp")).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = save_point(same.unionByName(near))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    found = save_point(_sets(docs, each.join(ends, "u", "left_semi"), words))
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ok = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(frame["s"], frame["t"], strict=True)]
+            yield frame.loc[np.array(ok, bool), ["a", "b"]]
 
-    own = met.select("band", F.col("mine").alias("i"), F.col("mine").alias("j"), F.lit(0).alias("side"), "u", F.col("u").alias("root"))
-    first = save_point(_compared(own.join(sets(met), "u")))
+    return pairs.join(found.toDF("a", "s"), "a").join(found.toDF("b", "t"), "b").mapInPandas(check, "a long, b long")
+
+
+def linked(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, root) of the sets of shingles that links connect. Only texts near another by SimHash, or that share a band with one, are read again, one of each set.
+
+    What SimHash links is not compared again in a band. Bands of over TREE sets are cut in parts, each compared within itself first. Only where the
+    sets of a band then are in several groups does each part meet the others, and pairs of one group are not compared.
+    """
+    each = save_point(prints.groupBy("u").agg(F.first("bands").alias("bands"), F.min("fp").alias("fp"), F.min(F.struct("k1", "k2")).alias("k")))
+    close = save_point(simhash_links(each.select("u", "fp", "k"), docs, words))
+    joined = components(close).toDF("u", "root")
+    keyed = save_point(each.select("u", "k", F.explode("bands").alias("band")))
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    met = save_point(keyed.join(sizes, "band").withColumn("cuts", F.ceil(F.col("n") / TREE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("u"), F.col("cuts")).cast("int")))
+    own = met.select("band", F.col("mine").alias("i"), F.col("mine").alias("j"), F.lit(0).alias("side"), "u").join(joined, "u", "left").withColumn("root", F.coalesce("root", "u"))
+    first = save_point(close.unionByName(_compared(own.join(_sets(docs, met, words), "u"))))
     groups = components(first)
     cut = met.filter("cuts > 1").join(groups.toDF("u", "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     several = cut.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
@@ -128,7 +151,7 @@ def linked(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     if open_.isEmpty():
         return groups
     pairs = F.expr("filter(transform(sequence(0, cuts - 1), o -> struct(least(o, mine) as i, greatest(o, mine) as j, if(mine < o, 1, 2) as side)), x -> x.i != x.j)")
-    more = _compared(open_.select("band", "u", "root", F.inline(pairs)).join(sets(open_), "u"))
+    more = _compared(open_.select("band", "u", "root", F.inline(pairs)).join(_sets(docs, open_, words), "u"))
     return components(first.unionByName(more))
 
 

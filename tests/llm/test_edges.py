@@ -1,6 +1,7 @@
 """Nulls, empty and repeated rows, empty tables and clashing columns, for every operator and pipeline stage."""
 
 import time
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -288,3 +289,17 @@ def test_stages(spark, docs, none, labels, tmp_path):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert at.columns == docs.columns
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_texts_by_simhash(spark):
+    """SimHash and BK-trees link texts of the stage by themselves; fingerprints that lie near, or are equal, do not link texts that are not alike."""
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(words), *(" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(0, 900, 30)), " ".join(words * 2), "", " ".join(words[:700])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    prints = near_texts._prints(docs, 5).localCheckpoint()
+    each = prints.groupBy("u").agg(F.min("fp").alias("fp"), F.min(F.struct("k1", "k2")).alias("k"), F.min("doc_id").alias("d")).localCheckpoint()
+    of = {r.u: (texts[r.d], r.fp) for r in each.collect()}
+    links = near_texts.simhash_links(each.select("u", "fp", "k"), docs, 5).collect()
+    near = [(x, y) for x, y in combinations(of, 2) if ((of[x][1] ^ of[y][1]) & (2**64 - 1)).bit_count() <= 3]
+    alike = lambda x, y: near_texts.alike(*(near_texts.shingle_set(of[u][0].encode(), 5) for u in (x, y)))
+    assert links and all(alike(r.a, r.b) for r in links) and {u for r in links for u in (r.a, r.b)} == {u for p in near if alike(*p) for u in p}
