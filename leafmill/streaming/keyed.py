@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-JOB = "stage string, done boolean, summary boolean, error string, updates bigint"
+JOB = "stage string, done boolean, summary boolean, error string, updates bigint, followers int, timer bigint"
 JOB_OUT = "job_id bigint, subscriber bigint, seq int, stage string, done boolean, finished boolean, error string, updates bigint, stalled boolean"
+JOB_ROW = Row(*(x.split()[0] for x in JOB_OUT.split(", ")))
 ANSWER_OUT = "query_id bigint, seq int, kind string, value string"
 STAGES = ("retrieving", "packing", "generating")
 
@@ -27,6 +28,9 @@ class Jobs(StatefulProcessor):
     A job is done once it was ready or failed, and finished when it failed or has its summary; nothing changes a failed job. A subscriber first gets the state as it
     is, then each change until the job is finished. A job that is not finished and has had no event for `patience` seconds of event time is stalled until
     the next one.
+
+    Each call of the state goes to the JVM and back, so a follower is kept once, with the updates that there were when it came (what it was sent since is the
+    difference), and the job's row tells how many there are and when its timer ends.
     """
 
     def __init__(self, patience: int) -> None:
@@ -35,35 +39,26 @@ class Jobs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", JOB)
-        self.followers = handle.getMapState("followers", "subscriber bigint", "seq int")
-
-    def _now(self) -> tuple:
-        return tuple(self.job.get()) if self.job.exists() else ("queued", False, False, None, 0)
+        self.followers = handle.getListState("followers", "subscriber bigint, since bigint")
 
     @staticmethod
-    def _row(key: tuple, state: tuple, subscriber: int | None = None, seq: int | None = None, stalled: bool = False) -> tuple:
+    def _row(key: tuple, state: tuple, subscriber: int | None = None, seq: int | None = None, stalled: bool = False) -> Row:
         stage, done, summary, error, updates = state
-        return key[0], subscriber, seq, stage, done, summary or error is not None, error, updates, stalled
+        return JOB_ROW(key[0], subscriber, seq, stage, done, summary or error is not None, error, updates, stalled)
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [x.split()[0] for x in JOB_OUT.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype({"subscriber": "Int64", "seq": "Int32"})
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
+        self.job.update((initialState.stage, initialState.done, False, None, 0, 0, None))
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        first = initialState.iloc[0]
-        self.job.update((first["stage"], bool(first["done"]), False, None, 0))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        stage, done, summary, error, updates = self._now()
-        followers = {k[0]: v[0] for k, v in self.followers.iterator()}
-        before, out = set(followers), []
-        for e in events.itertuples():
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        events = sorted(rows, key=lambda e: (e.ts, e.event_id))
+        stage, done, summary, error, updates, held, timer = self.job.get() or ("queued", False, False, None, 0, 0, None)
+        followers = [(f[0], f[1]) for f in self.followers.get()] if held else []
+        known = len(followers)
+        for e in events:
             if e.kind == "subscribe":
-                out.append(self._row(key, (stage, done, summary, error, updates), e.event_id, 0))
+                yield self._row(key, (stage, done, summary, error, updates), e.event_id, 0)
                 if not (summary or error is not None):
-                    followers[e.event_id] = 0
+                    followers.append((e.event_id, updates))
                 continue
             updates += 1
             if error is not None:
@@ -73,24 +68,27 @@ class Jobs(StatefulProcessor):
             else:
                 stage, summary = e.stage, summary or e.detail == "summary_ready"
             done = done or stage == "ready" or error is not None
-            for f in followers:
-                followers[f] += 1
-                out.append(self._row(key, (stage, done, summary, error, updates), f, followers[f]))
+            for f, since in followers:
+                yield self._row(key, (stage, done, summary, error, updates), f, updates - since)
             if summary or error is not None:
-                followers = {}
-        self.job.update((stage, done, summary, error, updates))
-        for f in before - set(followers):
-            self.followers.removeKey((f,))
-        for f, seq in followers.items():
-            self.followers.updateValue((f,), (seq,))
-        for timer in list(self.handle.listTimers()):
+                followers = []
+        finished = summary or error is not None
+        if finished and held:
+            self.followers.clear()
+        elif len(followers) > known:
+            self.followers.appendList(followers[known:])
+        if timer is not None:
             self.handle.deleteTimer(timer)
-        if not (summary or error is not None):
-            self.handle.registerTimer(int(events["ts"].iloc[-1].timestamp() * 1000) + self.patience * 1000)
-        yield self._frame([*out, self._row(key, (stage, done, summary, error, updates))])
+        timer = None if finished else int(events[-1].ts.timestamp() * 1000) + self.patience * 1000
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.job.update((stage, done, summary, error, updates, len(followers), timer))
+        yield self._row(key, (stage, done, summary, error, updates))
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield self._frame([self._row(key, self._now(), stalled=True)])
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        *state, held, _ = self.job.get()
+        self.job.update((*state, held, None))
+        yield self._row(key, tuple(state), stalled=True)
 
     def close(self) -> None:
         pass
@@ -104,7 +102,7 @@ def followed(events: DataFrame, known: DataFrame, patience: int, late: str = "0
     with_state_store(events.sparkSession)
     first = known.select("job_id", "stage", "done").groupBy("job_id")
     rows = events.select("job_id", "event_id", "ts", "kind", "stage", "detail").withWatermark("ts", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(Jobs(patience), JOB_OUT, "Update", "EventTime", first)
+    return rows.groupBy("job_id").transformWithState(Jobs(patience), JOB_OUT, "Update", "EventTime", first)
 
 
 class Answers(StatefulProcessor):

@@ -246,3 +246,73 @@ def test_questions_are_routed_once(spark):
 
     plan = answers.asked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan and "regexp" not in plan
+
+
+def test_state_calls_of_a_job_do_not_grow_with_its_followers():
+    """A follower is written when it comes and not with each change; what it is sent is numbered across batches all the same."""
+    from datetime import UTC, datetime, timedelta
+
+    from pyspark.sql import Row
+
+    from leafmill.streaming import keyed
+
+    calls = []
+
+    class State:
+        def __init__(self, held=None):
+            self.held = held
+
+        def get(self):
+            calls.append("get")
+            return self.held if self.held is None or isinstance(self.held, tuple) else iter(self.held)
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def appendList(self, values):
+            calls.append("append")
+            self.held = [*self.held, *values]
+
+        def clear(self):
+            calls.append("clear")
+            self.held = []
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, name, schema):
+            return State()
+
+        def getListState(self, name, schema):
+            return State([])
+
+        def registerTimer(self, at):
+            calls.append("register")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            self.timers.remove(at)
+
+    event, start, handle = Row("event_id", "ts", "kind", "stage", "detail"), datetime(2024, 1, 1, tzinfo=UTC), Handle()
+    at = lambda i, kind, stage="parsing", detail=None: event(i, start + timedelta(seconds=i), kind, stage, detail)
+    one = keyed.Jobs(60)
+    one.init(handle)
+
+    def call(*events):
+        calls.clear()
+        out = list(one.handleInputRows((7,), iter(events), None))
+        assert len(calls) <= 6
+        return [(r.subscriber, r.seq, r.stage, r.finished, r.updates) for r in out]
+
+    came = call(*(at(i, "subscribe") for i in range(100)), at(100, "event"))
+    assert came[:100] == [(i, 0, "queued", False, 0) for i in range(100)] and came[100:200] == [(i, 1, "parsing", False, 1) for i in range(100)]
+    assert handle.timers == {int(start.timestamp() * 1000) + 160_000}
+    more = call(at(300, "subscribe"), at(200, "event", "indexing"), at(201, "event", "ready"))  # in order of time, not of arrival
+    assert more[0] == (0, 2, "indexing", False, 2) and more[199] == (99, 3, "ready", False, 3) and more[200] == (300, 0, "ready", False, 3) and len(more) == 202
+    handle.timers.clear()  # the store drops a timer that has ended
+    assert [(r.subscriber, r.stalled, r.updates) for r in one.handleExpiredTimer((7,), None, None)] == [(None, True, 3)]
+    last = call(at(400, "event", "summarizing", "summary_ready"), at(401, "subscribe"), at(402, "event", "failed"), at(403, "event"))
+    assert last[0] == (0, 4, "summarizing", True, 4) and last[100] == (300, 1, "summarizing", True, 4) and last[101:] == [(401, 0, "summarizing", True, 4), (None, None, "failed", True, 6)]
+    assert not handle.timers
