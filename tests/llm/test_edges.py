@@ -177,6 +177,36 @@ def test_repeats_of_rows(spark):
     assert repeats.remove_repeats(docs, 100, "none").count() == 202
 
 
+def test_repeats_of_one_shard(spark, monkeypatch):
+    """Stretches of one passage in very many different texts are joined with their shard by several tasks."""
+    held = {"adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "8k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in held}
+    rng, parts = np.random.default_rng(2), []
+    passage = min((rng.bytes(16).hex() for _ in range(20_000)), key=lambda x: repeats._grams(np.frombuffer(x.encode(), np.uint8))[0])
+    docs = spark.createDataFrame([(i, rng.bytes(40).hex() + passage + rng.bytes(40).hex()) for i in range(2000)], "doc_id long, text string").repartition(8)
+    save, cut = repeats.save_point, repeats._cut
+
+    def counted(df):
+        whole = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("rows"), F.max(F.xxhash64(*df.columns)))
+        parts.append(max(r["rows"] for r in whole.collect()))
+        return df
+
+    def saved(df):
+        return counted(save(df)) if "copies" not in df.columns and {"shard", "s1"} <= set(df.columns) else save(df)
+
+    monkeypatch.setattr(repeats, "save_point", saved)
+    monkeypatch.setattr(repeats, "_cut", lambda texts, wanted, length: cut(texts, counted(wanted), length))
+    try:
+        for k, v in held.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        out = repeats.remove_repeats(docs, 100, "none").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert len(out) == 2000 and not any(r.spans for r in out)
+    assert len(parts) == 3 and max(parts[1:]) < 1000, parts
+
+
 def test_mixing(docs, none):
     out = mixing.mix(docs).collect()
     assert len(out) == len(ROWS) and all(r.copies in (0, 1, 2) for r in out)
