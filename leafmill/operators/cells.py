@@ -81,12 +81,13 @@ def grouped_rows(rows: DataFrame) -> DataFrame:
     """doc_id, table_id, row_idx, row_label of body rows under their subheading. rows: doc_id, table_id, row_idx, label, rest (array), header (array).
 
     A row without numbers but with other values than a label is a subheading: of its names those that the subheading before it (at first
-    the header) lacks become the group of the rows below. Labels that repeat are numbered.
+    the header) lacks become the group of the rows below. Labels that repeat are numbered. Of rows of one row_idx, body rows come
+    before subheadings, then by label and values, so that no partitioning changes a group.
     """
     some = F.exists("rest", lambda v: F.coalesce(v, F.lit("")) != "")
     digits = F.exists(F.concat(F.array("label"), "rest"), lambda v: F.coalesce(v.rlike(NUMBER), F.lit(False)))
     marked = rows.withColumn("sub", some & ~digits)
-    order = W.partitionBy(*TABLE).orderBy("row_idx")
+    order = W.partitionBy(*TABLE).orderBy("row_idx", "sub", "label", "rest")
     names = F.filter("rest", lambda v: F.coalesce(v, F.lit("")) != "")
     last = F.last(F.when(F.col("sub"), names), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     known = F.coalesce(last, "header")

@@ -337,3 +337,12 @@ def test_memory_of_dense_products_is_that_of_their_input():
     assert len(found) == 3 * 8192 and peak < 64 << 20
     score = np.round(np.stack(v)[:5] @ np.stack(v).T, 6)
     assert found["chunk_id"].values[:15].reshape(5, 3).tolist() == [np.lexsort((np.arange(8192), -row))[:3].tolist() for row in score]
+
+
+def test_rows_of_one_index_have_one_order(spark):
+    """Rows of one row_idx, of which one is a subheading: their order in the input changes no group."""
+    kind = "doc_id long, table_id string, row_idx long, label string, rest array<string>, header array<string>"
+    head, rows = ["base", "Head"], [(1, "row A", ["7"]), (2, "row B", ["8"]), (2, "row S", ["base", "Sub"]), (2, "row T", ["base", "Other"]), (3, "row C", ["9"])]
+    made = [spark.createDataFrame([(1, "T", i, label, rest, head) for i, label, rest in each], kind).coalesce(1) for each in (rows, rows[::-1])]
+    got = [sorted((r.row_idx, r.row_label) for r in cells.grouped_rows(df).collect()) for df in made]
+    assert got[0] == got[1] == [(1, "row A"), (2, "row B"), (3, "Other / row C")]
