@@ -346,3 +346,22 @@ def test_rows_of_one_index_have_one_order(spark):
     made = [spark.createDataFrame([(1, "T", i, label, rest, head) for i, label, rest in each], kind).coalesce(1) for each in (rows, rows[::-1])]
     got = [sorted((r.row_idx, r.row_label) for r in cells.grouped_rows(df).collect()) for df in made]
     assert got[0] == got[1] == [(1, "row A"), (2, "row B"), (3, "Other / row C")]
+
+
+def test_a_part_gives_on_only_what_may_be_among_the_best_of_all(spark):
+    """A part's best that lie below what the k-th best of all has go no further; equal and negative weights, and several blocks, lose nothing."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    a = pd.DataFrame([(c, t, v) for c in range(200) for t, v in enumerate(rng.random(4)) if v > 0.3], columns=["chunk_id", "t", "v"])
+    b = pd.DataFrame([(q, t, w) for q in range(40) for t, w in enumerate(rng.choice([-1.0, 0.5, 1.0, 2.0], 5)) if t % 4 <= q % 4], columns=["asked", "t", "w"])
+    pairs = b.merge(a, on="t").assign(s=lambda x: x["w"] * x["v"]).groupby(["asked", "chunk_id"])["s"].sum().round(6).reset_index()
+    kth = pairs[pairs["s"] > 0].sort_values("s", ascending=False).groupby("asked")["s"].apply(lambda s: s.iloc[min(2, len(s) - 1)])
+    best = {q: [(-s, c) for s, c in sorted(zip(-x["s"], x["chunk_id"], strict=True))[:3] if s < 0] for q, x in pairs.groupby("asked")}
+    for low in (0.0, 1.0):
+        of = b.assign(low=b["asked"].map(kth).fillna(0.0) * low)
+        got = retrieval._sums(3)(a, [of[of["asked"] % 2 == i] for i in (0, 1)])
+        assert {q: list(zip(x["score"], x["chunk_id"], strict=True)) for q, x in got.groupby("query_id")} == {q: x for q, x in best.items() if x}
+    one = b[(b["asked"] == 3) & (b["t"] == 3)].assign(w=1.0, low=a[a["t"] == 3]["v"].max())
+    assert len(retrieval._sums(3)(a, [one])) == 1
