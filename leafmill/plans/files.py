@@ -42,7 +42,7 @@ def as_files(docs: DataFrame) -> DataFrame:
 def kept_files(spark: SparkSession, sf_dir: str) -> str:
     """All documents as files in a folder of the shared one."""
     folder = f"{shared_folder(spark)}/{uuid4().hex}"
-    source.write_files(as_files(load(spark, sf_dir, "documents")), folder)
+    source.write_files(as_files(load(spark, sf_dir, "documents")), folder, folders=True)
     return folder
 
 
@@ -102,8 +102,8 @@ def uploads_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("file", r"d(\d+)", 1).cast("long")
     files = as_files(load(spark, sf_dir, "documents"))
     named = files.select(F.when(n % 7 == 0, F.replace("file", F.lit(".pdf"), F.lit(".txt"))).otherwise(F.col("file")).alias("file"), F.when(n % 5 == 0, F.encode(F.lit("plain"), "utf-8")).otherwise(F.col("content")).alias("content"))
-    source.write_files(named, folder)
-    return store.checked_uploads(spark, folder).select(F.regexp_extract("path", r"d(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "refused")
+    source.write_files(named, folder, folders=True)
+    return store.checked_uploads(spark, folder, files=source.read_whole(spark, folder)).select(F.regexp_extract("path", r"d(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "refused")
 
 
 @CATALOG.add("S12, S13, S28", """WITH v AS (SELECT 1 AS version, doc_id, source, text FROM documents UNION ALL SELECT 3, doc_id, source, CASE WHEN doc_id % 10 = 1 THEN reverse(text) ELSE text END FROM documents WHERE doc_id % 25 <> 2),

@@ -45,9 +45,10 @@ def listing(docs: DataFrame, sources: DataFrame, summaries: DataFrame, show: int
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.coalesce("uploaded", F.lit(""))), "doc_id")))
 
 
-def checked_uploads(spark: SparkSession, folder: str, most: int = 30 << 20) -> DataFrame:
-    """doc_id by content, path, length, content of all files of a folder, and refused: name, size or content, or null where a file is taken."""
-    files = spark.read.format("binaryFile").load(folder)
+def checked_uploads(spark: SparkSession, folder: str, most: int = 30 << 20, files: DataFrame | None = None) -> DataFrame:
+    """doc_id by content, path, length, content of all files of a folder, and refused: name, size or content, or null where a file is taken. files: path,
+    length and content where they are read already, as binaryFile lists all files of the folder in the driver."""
+    files = spark.read.format("binaryFile").load(folder) if files is None else files
     why = F.when(~F.lower("path").endswith(".pdf"), "name").when(F.col("length") > most, "size").when(F.coalesce(F.substring("content", 1, 4), F.lit(b"")) != F.lit(b"%PDF"), "content")
     return files.select(F.substring(F.sha2("content", 256), 1, 16).alias("doc_id"), "path", "length", "content", why.alias("refused"))
 

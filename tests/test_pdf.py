@@ -134,3 +134,21 @@ def test_pages_are_read_once(spark, folder):
     assert all(not s for *_, s in pdf.objects(PLAIN, False))
     docs = spark.createDataFrame([(k, "a line\nanother") for k in range(64)], "doc_id long, text string").coalesce(1)
     assert files.as_files(docs).rdd.getNumPartitions() >= 8
+
+
+def test_driver_hears_of_folders_not_of_files(spark, tmp_path):
+    """What a task tells the driver, and what the driver lists, does not grow with its files; files, in folders too, are all read."""
+    import pickle
+
+    from pyspark.sql import Row
+
+    writer = source.PdfWriter({"path": f"{tmp_path}/w"})
+    assert len(pickle.dumps(writer.write(Row(file=f"{k}.pdf", content=b"%PDF") for k in range(500)))) < 1000
+    docs = spark.range(300).selectExpr("concat('d', id, '.pdf') as file", "encode('%PDF-x', 'utf-8') as content").repartition(6)
+    source.write_files(docs, f"{tmp_path}/f", folders=True)
+    (tmp_path / "f" / "alone.pdf").write_bytes(b"%PDF")
+    (tmp_path / "f" / "_writing-x").mkdir()
+    (tmp_path / "f" / "_writing-x" / "no.pdf").write_bytes(b"%PDF")
+    parts = source.PdfReader({"path": f"{tmp_path}/f"}).partitions()
+    assert len(parts) == 7 and sum(len(p.paths) for p in parts) == 1
+    assert sorted(r.path.rsplit("/", 1)[1] for r in source.read_whole(spark, f"{tmp_path}/f").collect()) == sorted(["alone.pdf", *(f"d{k}.pdf" for k in range(300))])
