@@ -365,3 +365,19 @@ def test_a_part_gives_on_only_what_may_be_among_the_best_of_all(spark):
         assert {q: list(zip(x["score"], x["chunk_id"], strict=True)) for q, x in got.groupby("query_id")} == {q: x for q, x in best.items() if x}
     one = b[(b["asked"] == 3) & (b["t"] == 3)].assign(w=1.0, low=a[a["t"] == 3]["v"].max())
     assert len(retrieval._sums(3)(a, [one])) == 1
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_few_queries_go_to_the_vectors(spark, apart):
+    """Where a task's best are fewer than its vectors no vector is moved; several blocks of queries move each once."""
+    kind = "chunk_id long, v array<double>" + ", index_id int" * apart
+    rows = spark.createDataFrame([(i, [float((i * 7) % 11), float(i % 3), 1.0], *[i % 2] * apart) for i in range(600)], kind).repartition(3)
+    asked = rows.filter("chunk_id in (4, 9)").withColumnRenamed("chunk_id", "query_id")
+    found = retrieval.dense_top(rows.localCheckpoint(), asked, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and plan.count("Exchange") == 1
+    v = {r.chunk_id: r.v for r in rows.collect()}
+    got = {q: [(r.chunk_id, r.score) for r in found.filter(F.col("query_id") == q).orderBy("rank").collect()] for q in (4, 9)}
+    for q in (4, 9):
+        best = sorted((-sum(a * b for a, b in zip(v[q], w, strict=True)), i) for i, w in v.items() if not apart or i % 2 == q % 2)[:5]
+        assert got[q] == [(i, -s) for s, i in best]
