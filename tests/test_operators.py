@@ -381,3 +381,10 @@ def test_few_queries_go_to_the_vectors(spark, apart):
     for q in (4, 9):
         best = sorted((-sum(a * b for a, b in zip(v[q], w, strict=True)), i) for i, w in v.items() if not apart or i % 2 == q % 2)[:5]
         assert got[q] == [(i, -s) for s, i in best]
+
+
+def test_cells_are_worked_out_once(spark):
+    """A table's columns come of the same rows as its cells: lines are split into words twice (for heights and words), not four times."""
+    for name in ("aligned_cells", "spanned_headers"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == 2, plan
