@@ -388,3 +388,16 @@ def test_cells_are_worked_out_once(spark):
     for name in ("aligned_cells", "spanned_headers"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parquet") == 2, plan
+
+
+def test_search_without_a_join_of_terms(spark, monkeypatch):
+    """Where most terms are asked for, all postings go by numbers, and once, however many blocks of questions there are; the hits are the same."""
+    texts = [(i % 2, i, f"a{i % 3} b{i % 2} c" + " d" * (i % 4) + f" e{i}") for i in range(40)]
+    chunks = spark.createDataFrame(texts, "index_id int, chunk_id long, text string")
+    asked = chunks.filter("chunk_id % 4 < 2").selectExpr("chunk_id as query_id", "index_id", "text")
+    found = lambda: sorted(tuple(r) for r in retrieval.lexical_top(chunks, asked, 3).collect())
+    want = found()
+    monkeypatch.setattr(retrieval, "SENT", 400)
+    monkeypatch.setattr(retrieval, "POSTINGS", 50)
+    plan = retrieval.lexical_top(chunks, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert found() == want and len(want) == 60 and "sequence" not in plan and plan.count("xxhash64") >= 2
